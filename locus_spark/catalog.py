@@ -1,5 +1,9 @@
 """The registered queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from locus_spark.queries import intervals
+
+_MODULES = (intervals,)
+
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.R.queries.items()}
+ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.R.sql.items()}
 FLAGSHIP = "cov_mean_interval"
