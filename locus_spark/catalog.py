@@ -1,8 +1,8 @@
 """The registered queries of the library and their SQL."""
 
-from locus_spark.queries import intervals
+from locus_spark.queries import graphs, intervals, statistics
 
-_MODULES = (intervals,)
+_MODULES = (intervals, graphs, statistics)
 
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.R.queries.items()}
 ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.R.sql.items()}

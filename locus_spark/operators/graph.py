@@ -47,3 +47,90 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
     return found.unionAll(alone.join(found, "node", "left_anti").withColumn("component", F.col("node")).distinct())
+
+
+def reachable(edges: DataFrame, start: DataFrame | None = None, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+    """Pairs (src, dst, steps) of all nodes reached from every node, or from those of ``start`` (node).
+
+    Semi-naive: each round follows edges from the pairs found in the last one alone.
+    ``steps`` is the fewest edges. Cycles end when a round finds nothing new.
+    """
+    step = materialize(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).dropna().distinct(), "steps")
+    first = step if start is None else step.join(start.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
+    found = last = materialize(first.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).alias("steps")), "reach")
+    for n in range(2, max_rounds + 1):
+        new = last.join(step, last["dst"] == step["a"]).select("src", F.col("b").alias("dst")).distinct()
+        last = materialize(new.join(found, ["src", "dst"], "left_anti").withColumn("steps", F.lit(n)), "reach")
+        if last.isEmpty():
+            return found
+        found = found.unionByName(last)
+    raise RuntimeError("paths longer than max_rounds")
+
+
+def levels(edges: DataFrame, child: str = "child", parent: str = "parent", max_rounds: int = 60) -> DataFrame:
+    """(node, minlevel, maxlevel): the fewest and most edges from a root of a DAG."""
+    step = materialize(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).dropna().distinct(), "dag")
+    now = step.select(F.col("p").alias("node")).distinct().join(step.select(F.col("c").alias("node")), "node", "left_anti").withColumn("level", F.lit(0))
+    now = found = materialize(now, "level")
+    for n in range(1, max_rounds + 1):
+        now = materialize(now.join(step, now["node"] == step["p"]).select(F.col("c").alias("node")).distinct().withColumn("level", F.lit(n)), "level")
+        if now.isEmpty():
+            return found.groupBy("node").agg(F.min("level").alias("minlevel"), F.max("level").alias("maxlevel"))
+        found = found.unionByName(now)
+    raise RuntimeError("a cycle, or more levels than max_rounds")
+
+
+def spanning_parents(edges: DataFrame, depth: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """One parent per node of a DAG, the smallest of those one minimal level up."""
+    up = depth.select(F.col("node").alias(parent), F.col("minlevel").alias("_up"))
+    own = depth.select(F.col("node").alias(child), F.col("minlevel").alias("_own"))
+    return edges.join(up, parent).join(own, child).filter("_up = _own - 1").groupBy(child).agg(F.min(parent).alias(parent))
+
+
+def subtree_members(edges: DataFrame, members: DataFrame, child: str = "child", parent: str = "parent", node: str = "node", member: str = "id") -> DataFrame:
+    """(node, member) for a node and everything below it."""
+    below = reachable(edges, src=parent, dst=child).select(F.col("src").alias(node), F.col("dst").alias("_below"))
+    inner = below.join(members.select(F.col(node).alias("_below"), member), "_below").select(node, member)
+    return inner.unionByName(members.select(node, member)).distinct()
+
+
+def path_products(edges: DataFrame, starts: DataFrame, least: float, src: str = "src", dst: str = "dst", p: str = "p", max_steps: int = 100) -> DataFrame:
+    """All simple paths from ``starts`` (node) to nodes without a way on, with the product of
+    the edges' ``p``; a path is dropped once its product is at or below ``least``.
+
+    Returns (path array, prob). Paths leave the frontier when they end, so each is written once.
+    """
+    step = materialize(edges.select(F.col(src).alias("_a"), F.col(dst).alias("_b"), F.col(p).cast("double").alias("_p")), "path-edges")
+    now = starts.select(F.array("node").alias("path"), F.lit(1.0).alias("prob"))
+    done = None
+    for _ in range(max_steps):
+        now = materialize(now.withColumn("_end", F.element_at("path", -1)), "paths")
+        ended = now.join(step, now["_end"] == step["_a"], "left_anti").select("path", "prob")
+        done = ended if done is None else done.unionByName(ended)
+        ahead = now.join(step, now["_end"] == step["_a"]).filter("NOT array_contains(path, _b)")
+        now = ahead.select(F.array_append("path", F.col("_b")).alias("path"), (F.col("prob") * F.col("_p")).alias("prob")).filter(F.col("prob") > least)
+        if now.isEmpty():
+            return done
+    raise RuntimeError("paths longer than max_steps")
+
+
+def gene_index(components: DataFrame, strand: DataFrame | None = None, node: str = "node") -> DataFrame:
+    """(node, gidx): components numbered from 1 by their smallest node, negative where most
+    members lie on the minus strand (ties: plus).
+
+    The numbers come from component labels alone, one row per component.
+    """
+    from pyspark.sql import Window as W
+
+    labels = components.select("component").distinct()
+    # Range-sorted partitions are numbered by their own counts: no window over everything.
+    ordered = materialize(labels.repartitionByRange(F.col("component")).sortWithinPartitions("component").withColumn("_part", F.spark_partition_id()), "labels")
+    counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    number = F.row_number().over(W.partitionBy("_part").orderBy("component"))
+    ordered = ordered.join(F.broadcast(counts), "_part").select("component", (number + F.col("_before")).alias("gidx"))
+    out = components.join(ordered, "component")
+    if strand is None:
+        return out.select(node, "gidx")
+    sign = components.join(strand, node).groupBy("component").agg(F.sum(F.expr("CASE strand WHEN '-' THEN 1 WHEN '+' THEN -1 ELSE 0 END")).alias("_m"))
+    return out.join(sign, "component", "left").select(node, F.expr("CASE WHEN _m > 0 THEN -gidx ELSE gidx END").alias("gidx"))
