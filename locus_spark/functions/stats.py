@@ -72,7 +72,7 @@ def _hommel(ranked: DataFrame, p: str, by: list[str], name: str) -> DataFrame:
         return pdf[columns].assign(**{name: hommel(pdf[p])})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.select(*columns).schema.fields) + f", `{name}` double"
-    return ranked.groupBy(*(by or [F.lit(1)])).applyInPandas(one, schema)
+    return ranked.withColumn("_family", F.lit(1)).groupBy(*(by or ["_family"])).applyInPandas(one, schema)
 
 
 def fisher_combined(p: Column, two_tailed: bool = False) -> Column:

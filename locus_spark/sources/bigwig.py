@@ -2,7 +2,8 @@
 
 ``spark.dataSource.register(BigWigSource)``, then
 ``spark.read.format("bigwig").load(path)``. The header, chromosome tree and index are
-read when the scan is planned; every task decodes its own share of the data blocks.
+read when the scan is planned, and with the option ``chr`` only the blocks of that
+chromosome are dealt out; every task decodes its own share of the data blocks.
 Files are opened as local paths on the workers: they belong on a shared mount. Blocks of
 all three kinds (runs, variable and fixed step) and both byte orders are read.
 """
@@ -13,7 +14,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Fixed values of the format.
 BIGWIG, CHROM_TREE, INDEX = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
@@ -86,14 +87,8 @@ class _Share(InputPartition):
 
 
 class BigWigReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path, self.only = path, None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("chr",):
-                self.only = f.value
-            yield f  # blocks may span chromosomes: rows are tested again
+    def __init__(self, path: str, only: str | None):
+        self.path, self.only = path, only
 
     def partitions(self):
         file = _File(self.path)
@@ -106,7 +101,8 @@ class BigWigReader(DataSourceReader):
         file = _File(self.path)
         for _, _, place, size in partition.blocks:
             for chrom, st, ed, value in file.runs(place, size):
-                yield partition.names[chrom], st, ed, float(value)
+                if self.only in (None, partition.names[chrom]):  # blocks may span chromosomes
+                    yield partition.names[chrom], st, ed, float(value)
 
 
 class BigWigSource(DataSource):
@@ -118,7 +114,7 @@ class BigWigSource(DataSource):
         return "chr string, st bigint, ed bigint, value double"
 
     def reader(self, schema):
-        return BigWigReader(self.options["path"])
+        return BigWigReader(self.options["path"], self.options.get("chr"))
 
 
 def write_bigwig(rows: list[tuple[str, int, int, float]], sizes: dict[str, int], path: str, block: int = 512) -> None:
