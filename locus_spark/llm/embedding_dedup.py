@@ -95,6 +95,8 @@ def _join(threshold: float):
                 own = turned[:, a:b]
                 square = (own * own).sum(1)
                 one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+                if not len(one) or not len(two):
+                    continue
                 left, right = [], []
                 for s in range(0, len(one), 512):
                     rows = one[s : s + 512]
