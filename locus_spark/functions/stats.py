@@ -8,41 +8,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locus_spark.plans.ranking import rank_in_families, running
+
 
 def p_adjust(df: DataFrame, p: str = "p", method: str = "BH", by: Sequence[str] = (), name: str = "padj", order: Sequence[str] = ()) -> DataFrame:
     """Adjusted p-values per group ``by``: holm, hochberg, hommel, bonferroni, BH, BY or none.
 
-    Null and NaN are left out of the count and stay null. ``order`` breaks ties. Groups
-    are one test family each and are ranked as such.
+    Null and NaN are left out of the count and stay null. ``order`` breaks ties. Ranks and
+    running extremes go by ranges, so one family may hold all rows (but for hommel, whose
+    family is one task).
     """
     sound = df.filter(F.col(p).isNotNull() & ~F.isnan(p))
     other = df.filter(F.col(p).isNull() | F.isnan(p)).withColumn(name, F.lit(None).cast("double"))
-    keys = list(by) or [F.lit(1)]
-    up = W.partitionBy(*keys).orderBy(p, *order)
-    down = W.partitionBy(*keys).orderBy(F.desc(p), *(F.desc(o) for o in order))
-    so_far, x = (W.unboundedPreceding, 0), F.col(p)
-    n = F.count(F.lit(1)).over(W.partitionBy(*keys))
-    ranked = sound.withColumns({"_r": F.row_number().over(up), "_n": n})
-    one = lambda c: F.least(F.lit(1.0), c)
-    if method in ("BH", "fdr"):
-        value = F.min(one(x * F.col("_n") / F.col("_r"))).over(down.rowsBetween(*so_far))
-    elif method == "BY":
-        factor = F.expr("aggregate(sequence(1, cast(_n AS INT)), 0D, (acc, i) -> acc + 1D / i)")
-        ranked = ranked.withColumn("_f", factor)
-        value = F.min(one(x * F.col("_n") * F.col("_f") / F.col("_r"))).over(down.rowsBetween(*so_far))
-    elif method == "holm":
-        value = F.max(one((F.col("_n") - F.col("_r") + 1) * x)).over(up.rowsBetween(*so_far))
-    elif method == "hochberg":
-        value = F.min(one((F.col("_n") - F.col("_r") + 1) * x)).over(down.rowsBetween(*so_far))
-    elif method == "bonferroni":
-        value = one(x * F.col("_n"))
-    elif method == "hommel":
-        return _hommel(ranked, p, list(by), name).unionByName(other)
-    elif method == "none":
-        value = x
-    else:
+    if method == "none":
+        return sound.withColumn(name, F.col(p)).unionByName(other)
+    if method == "hommel":
+        return _hommel(sound, p, list(by), name).unionByName(other)
+    ranked = rank_in_families(sound, by, [p, *order])
+    x, n, r = F.col(p), F.col("_n"), F.col("_r")
+    harmonic = F.expr("aggregate(sequence(1, cast(_n AS INT)), 0D, (acc, i) -> acc + 1D / i)")
+    # (value, running least instead of greatest, upwards in p)
+    steps = {
+        "BH": (x * n / r, True, False), "fdr": (x * n / r, True, False), "BY": (x * n * F.col("_f") / r, True, False),
+        "holm": ((n - r + 1) * x, False, True), "hochberg": ((n - r + 1) * x, True, False), "bonferroni": (x * n, None, None),
+    }
+    if method not in steps:
         raise ValueError(method)
-    return ranked.withColumn(name, value).select(*df.columns, name).unionByName(other)
+    if method == "BY":
+        ranked = ranked.join(ranked.select("_n").distinct().withColumn("_f", harmonic), "_n")
+    value, least, upwards = steps[method]
+    value = F.least(F.lit(1.0), value)
+    out = ranked.withColumn(name, value) if least is None else running(ranked, by, value, name, least, upwards)
+    return out.select(*df.columns, name).unionByName(other)
 
 
 def hommel(p: Sequence[float]) -> list[float]:
@@ -66,7 +63,7 @@ def hommel(p: Sequence[float]) -> list[float]:
 
 
 def _hommel(ranked: DataFrame, p: str, by: list[str], name: str) -> DataFrame:
-    columns = [c for c in ranked.columns if c not in ("_r", "_n")]
+    columns = ranked.columns
 
     def one(pdf):
         return pdf[columns].assign(**{name: hommel(pdf[p])})
@@ -120,9 +117,8 @@ def enrichment(terms: DataFrame, selected: DataFrame, term: str = "term", member
 
 def binned_mean(df: DataFrame, x: str, y: str, size: int, by: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
     """Means of bins of ``size`` rows, from the largest x down: bin, avgx, avgy, minx, maxx, cnt."""
-    keys = list(by) or [F.lit(1)]
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(x), *(F.desc(o) for o in order))) - 1
-    out = df.withColumn("bin", F.floor(rank / size))
+    ranked = rank_in_families(df, by, [x, *order])
+    out = ranked.withColumn("bin", F.expr(f"(_n - _r) div {size}"))
     return out.groupBy(*by, "bin").agg(F.avg(x).alias("avgx"), F.avg(y).alias("avgy"), F.min(x).alias("minx"), F.max(x).alias("maxx"), F.count("*").alias("cnt"))
 
 

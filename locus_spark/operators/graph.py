@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locus_spark.plans.materialize import materialize
+from locus_spark.plans.ranking import number_rows
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -120,15 +121,8 @@ def gene_index(components: DataFrame, strand: DataFrame | None = None, node: str
 
     The numbers come from component labels alone, one row per component.
     """
-    from pyspark.sql import Window as W
-
     labels = components.select("component").distinct()
-    # Range-sorted partitions are numbered by their own counts: no window over everything.
-    ordered = materialize(labels.repartitionByRange(F.col("component")).sortWithinPartitions("component").withColumn("_part", F.spark_partition_id()), "labels")
-    counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    number = F.row_number().over(W.partitionBy("_part").orderBy("component"))
-    ordered = ordered.join(F.broadcast(counts), "_part").select("component", (number + F.col("_before")).alias("gidx"))
+    ordered = number_rows(labels, ["component"]).select("component", (F.col("_id") + 1).alias("gidx"))
     out = components.join(ordered, "component")
     if strand is None:
         return out.select(node, "gidx")

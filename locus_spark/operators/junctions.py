@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locus_spark.operators.intervals import KEYS, overlap_join, overlap_pairs
-from locus_spark.plans.materialize import materialize
+from locus_spark.plans.ranking import number_rows
 
 
 def locus(stranded: bool = False) -> Column:
@@ -32,11 +32,7 @@ def parse_locus(column: str) -> list[Column]:
 
 def row_ids(df: DataFrame, order: Sequence[str], name: str = "_id") -> DataFrame:
     """Dense ids from 0 in the order of ``order``, without a window over all rows."""
-    ranged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ids")
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    number = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.join(F.broadcast(counts), "_part").withColumn(name, number + F.col("_before")).drop("_part", "_n", "_before")
+    return number_rows(df, order, name).drop("_part")
 
 
 def end_positions(df: DataFrame, junctions: bool) -> DataFrame:

@@ -20,7 +20,12 @@ def _parts(spark, sf):
     iv = view(spark, sf, "iv_lineitem").withColumn("gid", F.col("gid") % 50)
     atoms = I.atomic(iv, "gid")
     values = C.mean_over(atoms, C.coverage(view(spark, sf, "iv_orders")))
-    return atoms.join(values, ["chr", "st", "ed"]).select(F.col("chr").alias("block"), "ids", "cov", (F.col("ed") - F.col("st")).alias("len"))
+    # Elements never reach beyond an island, so islands can be dealt into blocks by their start.
+    islands = I.merge(iv).select("chr", "st", "ed")
+    block = F.concat("chr", F.lit(":"), F.expr("b_st div 2500").cast("string"))
+    named = I.overlap_pairs(atoms, islands).withColumn("block", block)
+    ids = F.transform("ids", lambda i: F.concat("block", F.lit("/"), i.cast("string"))).alias("ids")
+    return named.join(values, ["chr", "st", "ed"]).select("block", ids, "cov", (F.col("ed") - F.col("st")).alias("len"))
 
 
 @R.add()
