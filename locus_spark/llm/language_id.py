@@ -9,7 +9,6 @@ counts of a bounded sample of labelled documents, and smoothed by the pooled one
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locus_spark.llm.common import blocks
+from locus_spark.llm.common import blocks, bound_batches
 from locus_spark.plans.materialize import broadcast_if_small
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -29,6 +28,7 @@ LONGEST = 16  # characters of a piece
 WHOLE = 64  # characters of a word scored in batches; longer ones have a scaled pass of their own
 UNKNOWN = 1e-9  # probability of a character outside the vocabulary, the same in each language
 CACHE = 300_000  # words whose scores a task keeps
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -50,25 +50,44 @@ class Pieces:
     def __init__(self, pieces: list[str], probs: np.ndarray):
         self.index = {p: i for i, p in enumerate(pieces)}
         self.probs = np.vstack([probs, np.full((1, probs.shape[1]), UNKNOWN)])  # the last: unknown character
+        # Per length: hashes of all beginnings of pieces, and the piece that ends there or -1.
+        begun: list[dict[int, int]] = [{} for _ in range(LONGEST)]
+        for p, i in self.index.items():
+            h = 0
+            for n, c in enumerate(p):
+                h = (h * int(_STEP) + ord(c) + 1) & ((1 << 64) - 1)
+                begun[n][h] = i if n == len(p) - 1 else begun[n].get(h, -1)
+        ordered = [sorted(b.items()) for b in begun if b]
+        self.prefixes = [(np.array([k for k, _ in o], np.uint64), np.array([i for _, i in o], np.int64)) for o in ordered]
         self.known: dict[str, int] = {}
         self.table = np.zeros((1024, probs.shape[1]))
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(word, start, end, piece) of all pieces in all words."""
-        get, unknown = self.index.get, len(self.index)
-        word, start, end, piece = [], [], [], []
-        for w, text in enumerate(words):
-            n = len(text)
-            for i in range(n):
-                single = False
-                for j in range(i + 1, min(n, i + LONGEST) + 1):
-                    p = get(text[i:j])
-                    if p is not None:
-                        word.append(w), start.append(i), end.append(j), piece.append(p)
-                        single |= j == i + 1
-                if not single:
-                    word.append(w), start.append(i), end.append(i + 1), piece.append(unknown)
-        return np.array(word), np.array(start), np.array(end), np.array(piece)
+        """(word, start, end, piece) of all pieces in all words.
+
+        All places of all words grow by one character at a time, as long as what they
+        have is the beginning of some piece.
+        """
+        text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        word = np.repeat(np.arange(len(words)), lengths)
+        begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
+        place, h, out = np.arange(len(text)), np.zeros(len(text), np.uint64), []
+        for n, (keys, piece) in enumerate(self.prefixes, 1):
+            inside = place + n - begin[place] <= lengths[word[place]]
+            place, h = place[inside], h[inside] * _STEP + text[place[inside] + n - 1] + np.uint64(1)
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            found = np.where(keys[at] == h, piece[at], -2)
+            if n == 1:
+                lone = place[found < 0]
+                out.append((lone, 1, np.full(len(lone), len(self.index))))
+            hit = found >= 0
+            out.append((place[hit], n, found[hit]))
+            place, h = place[found > -2], h[found > -2]
+        where = np.concatenate([o[0] for o in out])
+        start = where - begin[where]
+        end = start + np.concatenate([np.full(len(o[0]), o[1]) for o in out])
+        return word[where], start, end, np.concatenate([o[2] for o in out])
 
     def forward(self, words: list[str], edges: tuple | None = None) -> np.ndarray:
         """Forward sums, positions x words x languages, of words of up to WHOLE characters."""
@@ -142,7 +161,7 @@ class Pieces:
 def fit(counts: list[Counter], pieces: list[str], rounds: int = 2, pooled: float = 500.0) -> Pieces:
     """Piece probabilities per language from its word counts."""
     langs = len(counts)
-    start = np.array([math.exp(-0.5 * 1) * 0.01 ** (1 / (1 + len(p))) / len(pieces) for p in pieces])
+    start = np.array([0.01 ** (1 / (1 + len(p))) / len(pieces) for p in pieces])
     model = Pieces(pieces, np.repeat(start[:, None], langs, 1))
     vocab = sorted(set().union(*counts))
     words = [START + w for w in vocab if len(w) < WHOLE]
@@ -245,6 +264,7 @@ def identify(
     alphabetical order. Texts are whole at any length; repeated rows are scored each;
     other columns are ignored; an empty table gives no rows.
     """
+    bound_batches(docs)
     use = F.lit(True) if train_rows is None else train_rows
     labelled = docs.filter(use).select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
     langs, model = train(labelled, docs_per_lang, words_per_lang, vocabulary_path)
