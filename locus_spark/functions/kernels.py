@@ -203,3 +203,20 @@ def fit_logistic(df: DataFrame, label: str, features: Sequence[str], c: float =
     n = rows.count()
     model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1 / (c * max(1, n)), elasticNetParam=0.0, standardization=False).fit(rows)
     return float(model.intercept), dict(zip(features, map(float, model.coefficients)))
+
+
+def cover(paths: DataFrame, gene: str = "gene", path: str = "path", members: str = "members", abundance: str = "abundance") -> DataFrame:
+    """Per gene the paths that a greedy cover takes: from the most abundant down, those with a
+    member that none before has. Returns the chosen rows (gene, path, abundance)."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen: set = set()
+        chosen = []
+        for row in sorted(zip(-pdf[abundance], pdf[path], pdf[members]), key=lambda r: r[:2]):
+            if set(row[2]) - seen:
+                seen |= set(row[2])
+                chosen.append((pdf[gene].iloc[0], row[1], -row[0]))
+        return pd.DataFrame(chosen, columns=[gene, path, abundance])
+
+    kind = {c: paths.schema[c].dataType.simpleString() for c in (gene, path)}
+    return paths.groupBy(gene).applyInPandas(one, f"`{gene}` {kind[gene]}, `{path}` {kind[path]}, `{abundance}` double")

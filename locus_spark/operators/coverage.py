@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locus_spark.operators.intervals import KEYS, TILE, deltas, merge, overlap_join, runs
+from locus_spark.operators.intervals import KEYS, TILE, deltas, merge, overlap_join, overlap_pairs, runs
 
 
 def coverage(df: DataFrame, keys: Sequence[str] = KEYS, weight: Column | None = None, scale: float | None = None, digits: int | None = None, tile: int = TILE) -> DataFrame:
@@ -118,3 +118,17 @@ def single_exon_candidates(track: DataFrame, exons: DataFrame, least_size: int,
     return mean_over(free, track, keys, width)
 
 
+
+
+def overlay_max(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:
+    """The larger of two tracks at every position, as maximal runs."""
+    both = a.select(*keys, "st", "ed", "value").unionByName(b.select(*keys, "st", "ed", "value"))
+    parts = runs(deltas(both, keys), keys, keep_flat=True).filter("value > 0").select(*keys, "st", "ed")
+    most = overlap_pairs(parts, both, keys, width).groupBy(*keys, "st", "ed").agg(F.max("b_value").alias("_v"))
+    return runs(deltas(most, keys, F.col("_v")), keys).filter("value <> 0")
+
+
+def fill_exon_gaps(track: DataFrame, exons: DataFrame, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:
+    """A junction track carried across exons: inside, at least the smaller of the values beside them."""
+    beside = flux(exons, track, keys, width).select(*keys, "st", "ed", F.least("s_out", "e_out").alias("value")).filter("value > 0")
+    return overlay_max(track, beside, keys, width)

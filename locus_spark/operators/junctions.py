@@ -97,9 +97,10 @@ def drop_inside_exons(sj: DataFrame, exons: DataFrame, unique: float, multi: flo
 
 
 def flank_support(sj: DataFrame, track: DataFrame, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:
-    """Junctions whose neighbouring bases on both sides are covered."""
+    """Junctions whose neighbouring bases on both sides are covered: the last of the exon
+    before, at st - 2 as starts are 1-based, and the first of the exon after, at ed."""
     at = [*keys, "st", "ed"]
-    left = sj.select(*at, (F.col("st") - 1).alias("_s"), F.col("st").alias("_e"))
+    left = sj.select(*at, (F.col("st") - 2).alias("_s"), (F.col("st") - 1).alias("_e"))
     right = sj.select(*at, F.col("ed").alias("_s"), (F.col("ed") + 1).alias("_e"))
     for side in (left, right):
         spot = side.select(*keys, F.col("_s").alias("st"), F.col("_e").alias("ed"), F.col("st").alias("_st"), F.col("ed").alias("_ed")).distinct()

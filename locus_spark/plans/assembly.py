@@ -115,3 +115,25 @@ def filter_repeats(exons: DataFrame, sequence_tiles: DataFrame, repeats: DataFra
         F.sum("low").alias("low"), F.sum("ovl").alias("ovl"), F.sum(F.col("ed") - F.col("st")).alias("len"), F.count("*").alias("n"))
     bad = stats.filter((F.col("low") * 100 >= share * F.col("len")) & (F.col("ovl") * 100 > share * F.col("len")) & (F.col("n") < most_exons))
     return exons.join(bad.select(gene), gene, "left_anti")
+
+
+def group_abundance(estimates: Sequence[DataFrame], keys: Sequence[str], value: str = "value") -> DataFrame:
+    """One value per group from three estimates of it (span coverage, exon flux and junction
+    flux, each from ``kernels.deconvolve``): the middle one; an absent estimate counts as 0."""
+    first = estimates[0].select(*keys, F.col(value).alias("_0"))
+    for n, other in enumerate(estimates[1:], 1):
+        first = first.join(other.select(*keys, F.col(value).alias(f"_{n}")), list(keys), "full")
+    middle = F.array_sort(F.array(*(F.coalesce(f"_{n}", F.lit(0.0)) for n in range(len(estimates)))))
+    return first.select(*keys, middle[(len(estimates) - 1) // 2].alias(value))
+
+
+def snap_exons(ex: DataFrame, sj: DataFrame, within: int = 10) -> DataFrame:
+    """Exon ends moved to the nearest junction end on the same strand at most ``within`` away."""
+    begins = sj.select(*STRANDED, F.col("ed").alias("pos")).distinct()
+    ends = sj.select(*STRANDED, (F.col("st") - 1).alias("pos")).distinct()
+    for column, sites in (("st", begins), ("ed", ends)):
+        near = ex.select(*STRANDED, F.col(column).alias("p")).distinct().withColumn("pos", F.explode(F.expr(f"sequence(p - {within}, p + {within})")))
+        best = near.join(sites, [*STRANDED, "pos"]).groupBy(*STRANDED, "p").agg(F.min(F.struct(F.abs(F.col("pos") - F.col("p")).alias("d"), "pos")).alias("x"))
+        best = best.select(*STRANDED, F.col("p").alias(column), F.col("x.pos").alias("_to"))
+        ex = ex.join(best, [*STRANDED, column], "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+    return ex.filter("st < ed")

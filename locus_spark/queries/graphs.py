@@ -193,7 +193,7 @@ def jie_filter(spark, sf):
     return J.drop_inside_exons(_counts(spark, sf), view(spark, sf, "iv_orders"), 3, 4)
 
 
-@R.add(f"""WITH {L}, {O}, {_SJ}, {sweep_sql('iv_orders')} SELECT * FROM sj s WHERE EXISTS (SELECT 1 FROM swp t WHERE t.chr = s.chr AND t.st <= s.st - 1 AND s.st - 1 < t.ed)
+@R.add(f"""WITH {L}, {O}, {_SJ}, {sweep_sql('iv_orders')} SELECT * FROM sj s WHERE EXISTS (SELECT 1 FROM swp t WHERE t.chr = s.chr AND t.st <= s.st - 2 AND s.st - 2 < t.ed)
 AND EXISTS (SELECT 1 FROM swp t WHERE t.chr = s.chr AND t.st <= s.ed AND s.ed < t.ed)""")
 def flank_support(spark, sf):
     return J.flank_support(_counts(spark, sf), C.coverage(view(spark, sf, "iv_orders")))

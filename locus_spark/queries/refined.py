@@ -225,3 +225,11 @@ def one_component(spark, sf):
 def quantized_track(spark, sf):
     level = F.greatest(F.floor(F.col("w") / F.lit(0.02)) + 1, F.lit(1)).cast("long")
     return C.coverage(view(spark, sf, "iv_lineitem"), weight=level)
+
+
+@R.add(f"""WITH {L}, {O}, {sweep_sql('iv_lineitem', name='sa')}, {sweep_sql('iv_orders', name='sb')}, u AS (SELECT chr, st, ed, value FROM sa UNION ALL SELECT chr, st, ed, value FROM sb),
+p AS (SELECT chr, st AS pos FROM u UNION SELECT chr, ed FROM u), s AS (SELECT chr, pos AS st, lead(pos) OVER (PARTITION BY chr ORDER BY pos) AS ed FROM p),
+m AS (SELECT s.chr, s.st, s.ed, max(u.value) AS v FROM s JOIN u ON u.chr = s.chr AND u.st <= s.st AND u.ed >= s.ed WHERE s.ed IS NOT NULL GROUP BY 1, 2, 3), {sweep_sql('m', weight='v')}
+SELECT chr, st, ed, value::BIGINT AS value FROM swp""")
+def overlay_max(spark, sf):
+    return C.overlay_max(C.coverage(view(spark, sf, "iv_lineitem")), C.coverage(view(spark, sf, "iv_orders")))
