@@ -14,7 +14,18 @@ from locus_spark.operators.graph import connected_components
 from locus_spark.plans.materialize import materialize  # noqa: F401  for the operators
 
 #: Python works through a batch in blocks of about so many bytes of text.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+
+#: Rows of text that go to Python at once, at most.
+BATCH_ROWS = 2000
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows: whole texts fill larger ones with
+    tens of MB, in the executor and in Python. Results don't hang on it."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -27,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locus_spark.llm.common import BLOCK_BYTES, blocks, buffers, connected_components, forest, link_report, materialize, mix64, tiled, whole_groups
+from locus_spark.llm.common import BLOCK_BYTES, blocks, bound_batches, buffers, connected_components, forest, link_report, materialize, mix64, tiled, whole_groups
 from locus_spark.plans.materialize import broadcast_if_small
 
 WORDS, BANDS, ROWS = 5, 40, 6
 SHORT = 64  # one-byte MinHash values carried to the buckets
 STEP = 16  # values compared between two looks at the posterior
-TILE, TILE_BYTES = 1024, 16 << 20  # of a large family, and of a large bucket
-BUCKET = 4096
+TILE, TILE_BYTES = 512, 4 << 20  # documents and bytes of a chunk of a large family
+BUCKET = 4096  # rows of a chunk of a large bucket
+PART = 1 << 19  # bytes hashed at once
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -59,6 +60,19 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def _word_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the words raw[first:last], worked through in stretches of about PART bytes."""
+    out = np.zeros(len(first), np.uint64)
+    cuts = np.unique(np.searchsorted(first, np.arange(0, len(raw) + PART, PART)))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        base = first[a]
+        part = raw[base : last[b - 1]].astype(np.uint64) + np.uint64(1)
+        power, back = _power_tables(len(part))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * power[: len(part)], dtype=np.uint64)])
+        out[a:b] = mix64((sums[last[a:b] - base] - sums[first[a:b] - base]) * back[first[a:b] - base])
+    return out
+
+
 def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all documents, in order, and the n + 1 offsets into them."""
     docs, n = len(offsets) - 1, len(raw)
@@ -71,10 +85,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     before[cuts] = False
     after[cuts[cuts > 0] - 1] = False
     first, last = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-    power, back = _power_tables(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    word = mix64((sums[last] - sums[first]) * back[first])
+    word = _word_hashes(raw, first, last)
     doc = np.searchsorted(offsets, first, "right") - 1
     counts = np.bincount(doc, minlength=docs)
     starts = np.concatenate([[0], np.cumsum(counts)])
@@ -140,8 +151,8 @@ def survivors(a: np.ndarray, b: np.ndarray, looks: list[tuple[int, int]], upper:
         for (n0, _), (n1, least) in zip(looks, looks[1:]):
             if not len(i):
                 break
-            for lo in range(0, len(i), 1 << 20):
-                hi = lo + (1 << 20)
+            for lo in range(0, len(i), 1 << 16):
+                hi = lo + (1 << 16)
                 got[lo:hi] += (part[i[lo:hi], n0:n1] == b[j[lo:hi], n0:n1]).sum(1)
             keep = got >= least
             i, j, got = i[keep], j[keep], got[keep]
@@ -276,6 +287,7 @@ def near_duplicates(
     other like any copies, and those with the smallest id are all kept. Texts are whole
     at any length. Other columns are ignored; an empty table gives an empty result.
     """
+    bound_batches(docs)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     rows = rows.withColumn("digest", F.md5("text"))
     signed = materialize(rows.mapInArrow(_sign, "id long, digest string, n_words long, bands array<bigint>, short binary"), "signed")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locus_spark.llm.common import blocks, materialize
+from locus_spark.llm.common import blocks, bound_batches, materialize
 
 WINDOW = 2048
 END = 1  # the id that ends a document
@@ -199,6 +199,7 @@ def pack(
     documents of their own, also with a null id. Texts are whole at any length; other
     columns are ignored; an empty table gives no rows.
     """
+    bound_batches(docs)
     if units < 1 or window % units:
         raise ValueError("units must divide the window")
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))

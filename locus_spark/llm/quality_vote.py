@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locus_spark.llm.common import blocks, buffers, mix64
+from locus_spark.llm.common import blocks, bound_batches, buffers, mix64
 from locus_spark.plans.materialize import broadcast_if_small
 
 TERMS = 1024  # hashed trigrams
@@ -173,6 +173,7 @@ def score_quality(
     and null ids are scored like any row; other columns are ignored; an empty table gives
     no rows.
     """
+    bound_batches(docs)
     voters = train(docs, labels, id_column, text_column, label_column, max_labels)
     rows = docs.select(id_column, F.col(text_column).cast("string").alias("_text"))
     kind = rows.schema[id_column].dataType.simpleString()

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from locus_spark.llm.common import blocks, buffers
+from locus_spark.llm.common import blocks, bound_batches, buffers
 
 #: The base patterns and the fewest characters of each.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -258,6 +258,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     null ids are reported like any row; other columns are ignored; an empty table gives
     no rows.
     """
+    bound_batches(docs)
     rows = docs.select(id_column, docs[text_column].cast("string").alias(text_column))
     return rows.mapInArrow(_scan([id_column], text_column, None), f"{_schema(rows.select(id_column))}, {REPORT}")
 
@@ -267,4 +268,5 @@ def redact_secrets(docs: DataFrame, text_column: str = "text", mark: str = "[SEC
 
     All rows and columns stay; a null text stays null.
     """
+    bound_batches(docs)
     return docs.mapInArrow(_scan(docs.columns, text_column, mark), _schema(docs))
