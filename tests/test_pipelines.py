@@ -101,3 +101,16 @@ def test_bed12_lines(spark):
     ex = spark.createDataFrame([("c", "+", "t", 5, 9), ("c", "+", "t", 20, 30)], "chr string, strand string, tid string, st long, ed long")
     row = W.bed12(ex, ["tid"]).first()
     assert (row["st"], row["ed"], row["name"], row["#exons"], row["esizes"], row["estarts"]) == (5, 30, "t", 2, "4,10,", "0,15,")
+
+
+def test_materialized_tables_go(spark):
+    from pathlib import Path
+
+    from locus_spark.plans import materialize as P
+
+    P.drop_materialized(spark)
+    made = P.materialize(spark.range(3), "short-lived")
+    folder = Path(P.shared_folder(spark).removeprefix("file:"))
+    assert made.count() == 3 and list(folder.glob("short-lived-*"))
+    P.drop_materialized(spark)
+    assert not list(folder.glob("short-lived-*"))
