@@ -17,7 +17,7 @@ from locus_spark.plans.materialize import materialize  # noqa: F401  for the ope
 BLOCK_BYTES = 1 << 20
 
 #: Rows of text that go to Python at once, at most.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def bound_batches(df: DataFrame) -> None:

@@ -27,7 +27,7 @@ START = "▁"  # begins a word, as in the vocabulary
 LONGEST = 16  # characters of a piece
 WHOLE = 64  # characters of a word scored in batches; longer ones have a scaled pass of their own
 UNKNOWN = 1e-9  # probability of a character outside the vocabulary, the same in each language
-CACHE = 300_000  # words whose scores a task keeps
+CACHE = 100_000  # words whose scores a task keeps
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

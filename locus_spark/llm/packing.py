@@ -12,6 +12,7 @@ bounded group and nothing but the histogram reaches the driver.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -33,48 +34,55 @@ GROUP = 50_000  # pieces that one task ranks
 
 #: Both libraries cut texts of these characters alike; others go to the reference tokenizer.
 _PLAIN = re.compile("[\x00-\x1b\x20-\x7e¡-ſ]*")
-_tokenizers: dict[str, tuple] = {}
+_tokenizers: dict[tuple, object] = {}
 
 
-def _load(path: str | None):
-    """The tokenizer of a byte-level BPE file, and a fast encoder with its vocabulary."""
-    key = path or ""
-    if key not in _tokenizers:
-        import json
-        import os
+def _file(path: str | None) -> str:
+    if path is None:
+        import public_tokenizers
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import tiktoken
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return path
+
+
+def _slow(path: str | None):
+    """The tokenizer of a file, special strings being ordinary text."""
+    if ("slow", path) not in _tokenizers:
         from tokenizers import Tokenizer
 
+        made = Tokenizer.from_file(_file(path))
+        made.encode_special_tokens = True
+        _tokenizers["slow", path] = made
+    return _tokenizers["slow", path]
+
+
+def _fast(path: str | None):
+    """A faster encoder with the vocabulary of a byte-level file."""
+    if ("fast", path) not in _tokenizers:
         import public_tokenizers
+        import tiktoken
 
-        file = path or public_tokenizers.path("byte_bpe_50k.json")
-        slow = Tokenizer.from_file(file)
-        slow.encode_special_tokens = True
         # Byte-level vocabularies write bytes as printable characters: those as they are,
         # the rest from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-        with open(file, encoding="utf-8") as f:
+        with open(_file(path), encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if all(c in byte for c in token) and not token.startswith("<|")}
-        fast = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _tokenizers[key] = (slow, fast)
-    return _tokenizers[key]
+        _tokenizers["fast", path] = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _tokenizers["fast", path]
 
 
 def encode(texts: list[str], path: str | None = None) -> list[np.ndarray]:
     """Ids of whole texts as the tokenizer file gives them, without special tokens."""
-    slow, fast = _load(path)
     out: list = [None] * len(texts)
     for k, text in enumerate(texts):
-        if _PLAIN.fullmatch(text) and len(text) < 1_000_000:
-            out[k] = np.array(fast.encode_ordinary(text), np.uint32)
-    rest = [k for k, ids in enumerate(out) if ids is None]
-    for k, got in zip(rest, slow.encode_batch([texts[k] for k in rest], add_special_tokens=False)):
-        out[k] = np.array(got.ids, np.uint32)
+        if len(text) < 1_000_000 and _PLAIN.fullmatch(text):
+            out[k] = np.array(_fast(path).encode_ordinary(text), np.uint32)
+    for k, ids in enumerate(out):
+        if ids is None:
+            out[k] = np.array(_slow(path).encode(texts[k], add_special_tokens=False).ids, np.uint32)
     return out
 
 
