@@ -65,9 +65,9 @@ def crc_mod(doc_id: str, n: int) -> Column:
     return F.expr(f"crc32(cast({doc_id} AS STRING)) % {n}")
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The root (smallest index) of each of n nodes under the links i - j."""
-    root = np.arange(n)
+def forest(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """The root (smallest index) of each of n nodes under the links i - j, and those behind ``root``."""
+    root = np.arange(n) if root is None else root.copy()
     while len(i):
         low = np.minimum(root[i], root[j])
         np.minimum.at(root, root[i], low)

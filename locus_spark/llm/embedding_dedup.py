@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locus_spark.llm.common import forest, link_report, materialize, tiled, whole_groups
+from locus_spark.plans.materialize import broadcast_if_small
 
 BLOCK = 8  # dimensions of a block
-TILE = 2048  # rows of a chunk of a slab
+TILE = 8192  # rows of a chunk of a slab
 SLACK = 1e-5  # added to every radius: block distances are computed in single precision
 
 
@@ -49,30 +50,44 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _matrix(column: pa.Array, n: int) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(-1, n)
+def _pack(x: np.ndarray) -> list[bytes]:
+    """Rows as bytes, in single precision where that loses nothing."""
+    short = x.astype(np.float32)
+    return [(s if (s == row).all() else row).tobytes() for s, row in zip(short, x)]
 
 
-def _places(threshold: float):
-    """(class, dims, v) to (class, block, slab, home): the slabs a vector is compared in."""
+def _unpack(rows: list[bytes], n: int) -> np.ndarray:
+    return np.array([np.frombuffer(r, np.float32 if len(r) == 4 * n else np.float64) for r in rows], float).reshape(-1, n)
+
+
+def _places(threshold: float, carry: bool):
+    """(class, label_key, copies, dims, v) to the slabs a vector is compared in: label_key,
+    dims, block, slab, and with ``carry`` also class, copies, home and the packed vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dims").to_numpy()
             for n in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == n))
-                ids, turned = part.column("class").to_numpy(), _unit(_matrix(part.column("v"), n)) @ rotation(n)
-                out: list[tuple] = []
+                x = np.asarray(part.column("v").flatten()).reshape(-1, n)
+                turned, every = _unit(x) @ rotation(n), np.arange(len(x))
+                rows, block, slab, home = [], [], [], []
                 for k, ((at, _), share) in enumerate(zip(spans(n), shares(n, threshold))):
                     r = np.sqrt(share)
-                    home, low = np.floor(turned[:, at] / (2 * r)).astype(np.int64), np.floor((turned[:, at] - r) / (2 * r)).astype(np.int64)
+                    own, low = np.floor(turned[:, at] / (2 * r)).astype(np.int64), np.floor((turned[:, at] - r) / (2 * r)).astype(np.int64)
                     # A pair meets in the slab of its lower coordinate: the other only visits downwards.
-                    for slab, own, use in ((home, 1, home == home), (low, 0, low < home)):
-                        out.append((ids[use], np.full(use.sum(), k), slab[use], np.full(use.sum(), own)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([o[c] for o in out]), t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32()))],
-                    names=["class", "block", "slab", "home"],
-                )
+                    for place, at_home, use in ((own, 1, every), (low, 0, np.flatnonzero(low < own))):
+                        rows.append(use)
+                        slab.append(place[use])
+                        block.append(np.full(len(use), k))
+                        home.append(np.full(len(use), at_home))
+                take = pa.array(np.concatenate(rows))
+                columns = [part.column("label_key").take(take), part.column("dims").take(take), pa.array(np.concatenate(block), pa.int32()), pa.array(np.concatenate(slab))]
+                names = ["label_key", "dims", "block", "slab"]
+                if carry:
+                    columns += [part.column("class").take(take), part.column("copies").take(take), pa.array(np.concatenate(home), pa.int32()), pa.array(_pack(x), pa.binary()).take(take)]
+                    names += ["class", "copies", "home", "v"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -84,11 +99,11 @@ def _join(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in whole_groups(batches, "tile_key", 4 << 20):
             all_ids, all_copies, all_sides, all_home, block, dims = (table.column(c).to_numpy() for c in ("class", "copies", "side", "home", "block", "dims"))
-            vectors = table.column("v").combine_chunks()
+            vectors = table.column("v")
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 n, k = int(dims[lo]), int(block[lo])
                 ids, copies, side, home = all_ids[lo:hi], all_copies[lo:hi], all_sides[lo:hi], all_home[lo:hi]
-                x = _unit(_matrix(vectors.slice(lo, hi - lo), n).astype(np.float64))
+                x = _unit(_unpack(vectors.slice(lo, hi - lo).to_pylist(), n))
                 turned = (x @ rotation(n)).astype(np.float32)
                 parts, most = spans(n), shares(n, threshold)
                 a, b = parts[k]
@@ -97,34 +112,33 @@ def _join(threshold: float):
                 one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
                 if not len(one) or not len(two):
                     continue
-                left, right = [], []
-                for s in range(0, len(one), 512):
-                    rows = one[s : s + 512]
-                    near = square[rows, None] + square[two] - 2 * (own[rows] @ own[two].T) <= most[k]
-                    i, j = np.nonzero(near)
-                    left.append(rows[i])
-                    right.append(two[j])
-                i, j = np.concatenate(left), np.concatenate(right)
-                # Visitors meet each other at home, not here; in one chunk each pair shows up twice.
-                use = ((home[i] | home[j]) > 0) & ((i < j) | (side[i] != 2) | (side[j] != 2))
-                i, j = i[use], j[use]
-                good = np.zeros(len(i), bool)
-                for s in range(0, len(i), 1 << 16):
-                    p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                    first = np.ones(len(p), bool)
-                    for e in range(k):  # an earlier block has this pair already
-                        c, d = parts[e]
-                        away = turned[p, c:d] - turned[q, c:d]
-                        gap = np.einsum("ij,ij->i", away, away)
-                        first &= gap > most[e]
-                    good[s : s + (1 << 16)] = first & (np.einsum("ij,ij->i", x[p], x[q]) >= threshold)
-                i, j = i[good], j[good]
-                if not len(i):
+                links, root = np.zeros(len(ids)), np.arange(len(ids))
+                strip = max(1, (1 << 20) // len(two))  # a million pairs at most are held at once
+                for s in range(0, len(one), strip):
+                    rows = one[s : s + strip]
+                    i, j = np.nonzero(square[rows, None] + square[two] - 2 * (own[rows] @ own[two].T) <= most[k])
+                    i, j = rows[i], two[j]
+                    # Visitors meet each other at home, not here; in one chunk each pair shows up twice.
+                    use = ((home[i] | home[j]) > 0) & ((i < j) | (side[i] != 2) | (side[j] != 2))
+                    i, j = i[use], j[use]
+                    good = np.zeros(len(i), bool)
+                    for at in range(0, len(i), 1 << 15):
+                        p, q = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+                        first = np.ones(len(p), bool)
+                        for e in range(k):  # an earlier block has this pair already
+                            c, d = parts[e]
+                            away = turned[p, c:d] - turned[q, c:d]
+                            first &= np.einsum("ij,ij->i", away, away) > most[e]
+                        good[at : at + (1 << 15)] = first & (np.einsum("ij,ij->i", x[p], x[q]) >= threshold)
+                    i, j = i[good], j[good]
+                    if len(i):
+                        links += np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+                        root = forest(len(ids), i, j, root)
+                hit = np.flatnonzero(links)
+                if not len(hit):
                     continue
-                links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-                root, least = forest(len(ids), i, j), np.full(len(ids), np.iinfo(np.int64).max)
+                least = np.full(len(ids), np.iinfo(np.int64).max)
                 np.minimum.at(least, root, ids)
-                hit = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit].astype(np.int64)), pa.array(least[root[hit]])], schema=_LINKS)
 
     return run
@@ -155,11 +169,13 @@ def near_vectors(
     classes = sound_rows.groupBy("label", "h", "v").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
     classes = materialize(classes.withColumn("dims", F.size("v")), "vector-classes")
 
-    places = classes.select("class", "dims", "v").mapInArrow(_places(threshold), "class long, block int, slab long, home int")
-    carried = classes.select("class", "label", "copies", "dims", "v")
-    placed = materialize(places.join(carried, "class").withColumn("key", F.xxhash64("label", "dims", "block", "slab")), "places")
-    large = placed.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks")).filter("chunks > 1")
-    dealt = placed.join(large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    carried = classes.select("class", F.xxhash64("label").alias("label_key"), "copies", "dims", "v")
+    places, key = "label_key long, dims int, block int, slab long", F.xxhash64("label_key", "dims", "block", "slab")
+    # The keys of large slabs first, without vectors; then one shuffle brings the vectors to their tiles.
+    counts = carried.mapInArrow(_places(threshold, carry=False), places).groupBy(key.alias("key")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
+    large = materialize(counts.filter("chunks > 1"), "large-slabs")
+    placed = carried.mapInArrow(_places(threshold, carry=True), f"{places}, class long, copies long, home int, v binary").withColumn("key", key)
+    dealt = placed.join(broadcast_if_small(large, 24), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = tiled(dealt, "key", "chunks", "class").select("tile_key", "side", "class", "copies", "home", "block", "dims", "v")
     dealt = dealt.repartition("tile_key").sortWithinPartitions("tile_key")
     found = materialize(dealt.mapInArrow(_join(threshold), "id long, links long, root long"), "vector-links")
