@@ -123,6 +123,17 @@ def combinations(units: int, depth: int) -> list[tuple[int, ...]]:
     return out
 
 
+def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of a x = b, or the shortest best one where that is no good."""
+    try:
+        x = np.linalg.solve(a, b)
+        if np.abs(a @ x - b).max() <= 1e-9 * max(1.0, float(np.abs(b).max())):
+            return x
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.lstsq(a, b, rcond=None)[0]
+
+
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
     """Non-negative x that minimises |a x - b|, by the active-set method on normal equations."""
     gram, right = a.T @ a, a.T @ b
@@ -137,7 +148,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
         active[k] = True
         while True:
             on = np.flatnonzero(active)
-            z = np.linalg.lstsq(gram[np.ix_(on, on)], right[on], rcond=None)[0]
+            z = _solve(gram[np.ix_(on, on)], right[on])
             if (z > 0).all():
                 x[:] = 0
                 x[on] = z
