@@ -1,11 +1,11 @@
 """License scans by a positional rare-token index (operator 10); DataFrame functions only.
 
 Every template is a short licence notice with a label and a key phrase. The index holds,
-per template word, the templates and positions where it stands, with its inverse document
-frequency over all documents. A file looks up its licence words of the highest frequency
-weight; every place of such a word votes, per template, for the offset between its
-position in the file and in the template. The best offset's weight, as a share of the
-template's, must reach ``least_share``, and the key phrase must stand in the file.
+per template, its words of the highest inverse document frequency over all documents and
+the positions where they stand. Every place of an indexed word in a file votes, for each
+template that holds it, for the offset between its position in the file and in the
+template. The best offset's weight, as a share of the template's, must reach
+``least_share``, and the key phrase must stand in the file.
 """
 
 from __future__ import annotations
@@ -73,7 +73,8 @@ def scan_licenses(
     Returns id_column, n_words, n_base, first_word, last_word (long), base_labels, labels
     (string, distinct, sorted, joined by commas), score (double, 0 to 1: the largest
     share of a template found in place). A template word is in the index if at most
-    ``rare_share`` of the documents hold it; a file looks up its ``lookups`` rarest.
+    ``rare_share`` of the documents hold it and it is among the template's ``lookups``
+    rarest; a file votes with all of its indexed words, however many templates it holds.
 
     A null text is empty: no words, null places, empty labels, score 0. Repeated rows and
     null ids are reported like any row; other columns are ignored; an empty table gives
@@ -88,38 +89,36 @@ def scan_licenses(
     total = docs.count()
     idf = {w: _weight(total, df.get(w, 0)) for w in vocabulary if df.get(w, 0) <= max(rare_share * total, 1)}
 
-    shapes = []
-    for label, key, text in templates:
+    at: dict[str, list[str]] = {}  # per word the templates, positions and weights it votes with
+    for t, (_, _, text) in enumerate(templates):
         words = text.split()
         rare = sorted({w for w in words if w in idf}, key=lambda w: (-idf[w], w))[:lookups]
         postings = [(w, p) for p, w in enumerate(words) if w in rare]
-        if postings:
-            entries = ", ".join(f"named_struct('w', '{w}', 'p', {p}, 'f', {idf[w]!r}D)" for w, p in postings)
-            shapes.append(f"named_struct('label', '{label}', 'key', ' {key} ', 'whole', {sum(idf[w] for w, _ in postings)!r}D, 'at', array({entries}))")
+        whole = sum(idf[w] for w, _ in postings)
+        for w, p in postings:
+            at.setdefault(w, []).append(f"named_struct('t', {t}, 'p', {p}, 'f', {idf[w]!r}D, 'whole', {whole!r}D)")
 
     out = rows.withColumn("_n", F.expr("greatest(length(_spaced) - length(replace(_spaced, ' ', '')) - 1, 0)"))
     out = out.withColumn("_w", F.expr("split(trim(_spaced), ' ')"))
     out = out.withColumns({f"_b{k}": _places(p) for k, (p, _) in enumerate(BASE)})
     every = F.concat(*(F.col(f"_b{k}") for k in range(len(BASE))))
-    if shapes:
-        ranked = ", ".join(f"'{w}'" for w in sorted(idf, key=lambda w: (-idf[w], w)))
-        # array_intersect keeps the order of its first argument: the rarest words first.
-        out = out.withColumn("_looked", F.expr(f"slice(array_intersect(array({ranked}), _w), 1, {lookups})"))
-        spots = "filter(transform(_w, (w, i) -> named_struct('w', w, 'i', i)), x -> array_contains(_looked, x.w))"
-        out = out.withColumn("_spots", F.expr(f"CASE WHEN size(_looked) > 0 THEN {spots} END"))
-        votes = "array_sort(flatten(transform(_spots, s -> transform(filter(t.at, a -> a.w = s.w), a -> named_struct('o', s.i - a.p, 'f', a.f)))))"
-        start = "named_struct('o', cast(NULL AS INT), 'f', 0D, 'best', 0D)"
-        step = (
-            "named_struct('o', v.o, 'f', CASE WHEN acc.o <=> v.o THEN acc.f ELSE 0D END + v.f,"
-            " 'best', greatest(acc.best, CASE WHEN acc.o <=> v.o THEN acc.f ELSE 0D END + v.f))"
-        )
-        share = f"aggregate({votes}, {start}, (acc, v) -> {step}, acc -> least(acc.best / t.whole, 1D))"
-        found = f"transform(array({', '.join(shapes)}), t -> named_struct('label', t.label, 'share', {share}, 'key', contains(_spaced, t.key)))"
-        out = out.withColumn("_found", F.expr(f"CASE WHEN _spots IS NOT NULL THEN {found} END"))
+    if at:
+        index = f"array({', '.join('array(' + ', '.join(entries) + ')' for entries in at.values())})"
+        place = f"array_position(array({', '.join(repr(w) for w in at)}), w)"
+        spots = f"filter(transform(_w, (w, i) -> named_struct('k', cast({place} AS INT), 'i', i)), x -> x.k > 0)"
+        votes = f"flatten(transform({spots}, s -> transform(get({index}, s.k - 1), a -> named_struct('t', a.t, 'o', s.i - a.p, 'f', a.f, 'whole', a.whole))))"
+        # In order of template and offset, so that one pass adds up every offset's weight.
+        start = "named_struct('t', -1, 'o', 0, 'f', 0D, 'best', 0D, 'hits', cast(array() AS ARRAY<INT>))"
+        f = "CASE WHEN acc.t = v.t AND acc.o = v.o THEN acc.f ELSE 0D END + v.f"
+        hits = f"CASE WHEN ({f}) / v.whole >= {least_share}D THEN array_union(acc.hits, array(v.t)) ELSE acc.hits END"
+        step = f"named_struct('t', v.t, 'o', v.o, 'f', {f}, 'best', greatest(acc.best, least(({f}) / v.whole, 1D)), 'hits', {hits})"
+        out = out.withColumn("_found", F.expr(f"aggregate(array_sort({votes}), {start}, (acc, v) -> {step})"))
     else:
-        out = out.withColumn("_found", F.expr("cast(NULL AS ARRAY<STRUCT<label: STRING, share: DOUBLE, key: BOOLEAN>>)"))
+        out = out.withColumn("_found", F.expr("cast(NULL AS STRUCT<best: DOUBLE, hits: ARRAY<INT>>)"))
+    names = ", ".join(f"named_struct('label', '{label}', 'key', ' {key} ')" for label, key, _ in templates)
     base = F.array_compact(F.array(*(F.when(F.size(f"_b{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE))))
-    more = F.expr(f"coalesce(transform(filter(_found, x -> x.key AND x.share >= {least_share}D), x -> x.label), cast(array() AS ARRAY<STRING>))")
+    confirmed = f"transform(filter(transform(_found.hits, t -> get(array({names}), t)), x -> contains(_spaced, x.key)), x -> x.label)"
+    more = F.expr(f"coalesce({confirmed}, cast(array() AS ARRAY<STRING>))") if at else F.expr("cast(array() AS ARRAY<STRING>)")
     return out.select(
         F.col("_id").alias(id_column),
         F.col("_n").cast("long").alias("n_words"),
@@ -128,7 +127,7 @@ def scan_licenses(
         F.array_max(every).cast("long").alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(base, more))), ",").alias("labels"),
-        F.coalesce(F.expr("array_max(transform(_found, x -> x.share))"), F.lit(0.0)).alias("score"),
+        F.coalesce("_found.best", F.lit(0.0)).alias("score"),
     )
 
 

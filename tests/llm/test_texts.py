@@ -328,6 +328,16 @@ def test_licences(spark):
     assert got[None]["n_base"] == 1 and LS.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_several_licences(spark):
+    text = {label: words for label, _, words in LS.TEMPLATES}
+    files = [("mit-text", "apache-notice"), ("mit-text", "warranty-text"), ("mit-text", "bsd-text", "isc-text", "apache-notice", "gpl-notice"), tuple(text), tuple(reversed(text))]
+    rows = [(k, " unrelated lines ".join(text[t] for t in file)) for k, file in enumerate(files)] + [(9, "of the license under and to this version")]
+    got = {r["doc_id"]: r for r in LS.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), rare_share=1.0).collect()}
+    for k, file in enumerate(files):
+        assert set(file) <= set(got[k]["labels"].split(",")) and got[k]["score"] > 1 - 1e-9
+    assert got[9]["labels"] == "" and 0 < got[9]["score"] < 0.6
+
+
 # Pipeline
 
 
