@@ -72,9 +72,10 @@ def scan_licenses(
 
     Returns id_column, n_words, n_base, first_word, last_word (long), base_labels, labels
     (string, distinct, sorted, joined by commas), score (double, 0 to 1: the largest
-    share of a template found in place). A template word is in the index if at most
-    ``rare_share`` of the documents hold it and it is among the template's ``lookups``
-    rarest; a file votes with all of its indexed words, however many templates it holds.
+    share of a template found in place). The index holds each template's
+    ``lookups`` rarest words, however many documents hold them, so that no label depends on
+    its share of the corpus; a file votes with all of its indexed words. ``rare_share``
+    was an absolute cut-off; it has no effect and is kept for callers.
 
     A null text is empty: no words, null places, empty labels, score 0. Repeated rows and
     null ids are reported like any row; other columns are ignored; an empty table gives
@@ -87,12 +88,12 @@ def scan_licenses(
     held = rows.select(F.explode(F.array_intersect(F.split("_spaced", " "), listed)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     df = {r["word"]: r["df"] for r in held.collect()}
     total = docs.count()
-    idf = {w: _weight(total, df.get(w, 0)) for w in vocabulary if df.get(w, 0) <= max(rare_share * total, 1)}
+    idf = {w: _weight(total, df.get(w, 0)) for w in vocabulary}
 
     at: dict[str, list[str]] = {}  # per word the templates, positions and weights it votes with
     for t, (_, _, text) in enumerate(templates):
         words = text.split()
-        rare = sorted({w for w in words if w in idf}, key=lambda w: (-idf[w], w))[:lookups]
+        rare = sorted(set(words), key=lambda w: (-idf[w], w))[:lookups]
         postings = [(w, p) for p, w in enumerate(words) if w in rare]
         whole = sum(idf[w] for w, _ in postings)
         for w, p in postings:

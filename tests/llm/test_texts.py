@@ -338,6 +338,15 @@ def test_several_licences(spark):
     assert got[9]["labels"] == "" and 0 < got[9]["score"] < 0.6
 
 
+def test_frequent_licence(spark):
+    header, whole = "Licensed under the Apache License, Version 2.0", {"apache-notice"}
+    rows = [(k, f"{header} and text {k}" if k % 3 == 0 else f"text {k} " * 5) for k in range(60)]
+    rows += [(100 + k, words) for k, (_, _, words) in enumerate(LS.TEMPLATES)]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in LS.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == (whole if k % 3 == 0 else {""}) for k in range(60))
+    assert all(label in got[100 + k] for k, (label, _, _) in enumerate(LS.TEMPLATES))
+
+
 # Pipeline
 
 
