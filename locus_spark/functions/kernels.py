@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -114,9 +115,14 @@ def sigmoid_by_group(df: DataFrame, group: str, x: str, y: str, level: float = 0
 def edges_of(values: np.ndarray, window: int, step: float) -> list[tuple[int, float]]:
     """Places where the smoothed log2 of a dense track steps by ``step`` or more within a
     window: the steepest of each run of such places, with its step."""
+    return [(k, d) for _, k, d in _steps(values, window, step)]
+
+
+def _steps(values: np.ndarray, window: int, step: float) -> list[tuple[int, int, float]]:
+    """The edges, each after the first place of its run."""
     padded = np.pad(np.log2(values + 1), window, mode="edge")
-    sums = np.concatenate([[0], np.cumsum(padded)])
-    mean = (sums[window:] - sums[:-window]) / window
+    # Added up per window, not as differences of running sums: a tile gets the same values as its whole region.
+    mean = sum(padded[k : len(padded) - window + 1 + k] for k in range(window)) / window
     change = mean[window:] - mean[:-window]  # of the window after a place less the one before
     change = change[: len(values) + 1]
     out, i = [], 0
@@ -127,7 +133,7 @@ def edges_of(values: np.ndarray, window: int, step: float) -> list[tuple[int, fl
             while j + 1 < len(strong) and strong[j + 1] and np.sign(change[j + 1]) == np.sign(change[i]):
                 j += 1
             k = i + int(np.abs(change[i : j + 1]).argmax())
-            out.append((k, float(change[k])))
+            out.append((i, k, float(change[k])))
             i = j + 1
         else:
             i += 1
@@ -135,23 +141,31 @@ def edges_of(values: np.ndarray, window: int, step: float) -> list[tuple[int, fl
 
 
 def slope_edges(runs: DataFrame, region: str, window: int = 15, step: float = 1.0, longest: int = 200_000) -> DataFrame:
-    """Edges in regions of at most ``longest`` bases: (region, pos, step).
+    """Edges in regions of any length: (region, pos, step).
 
     ``runs`` holds st, ed, value clipped to the region, rst and red its bounds. Only one
-    region is dense at a time; longer ones are an error of the caller.
+    tile of ``longest`` places is dense at a time, with a halo on both sides. A run of
+    steps counts in the tile of its first place. As log2(value + 1) is below 1024 and
+    changes by ``step`` a window along a run, no run reaches beyond the halo.
     """
+    halo = window * (math.ceil(1024 / step) + 3)
+    last = f"greatest(red - rst - 1, 0) div {longest}"
+    low, high = f"greatest((st - rst - {halo}) div {longest}, 0)", f"least((ed - 1 - rst + {halo}) div {longest}, {last})"
+    tiled = runs.select(region, "st", "ed", "value", "rst", "red", F.explode(F.expr(f"sequence({low}, {high})")).alias("_tile"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        start, end = int(pdf["rst"].iloc[0]), int(pdf["red"].iloc[0])
-        if end - start > longest:
-            raise ValueError("region too long")
+        rst, red, tile = (int(pdf[c].iloc[0]) for c in ("rst", "red", "_tile"))
+        first = rst + tile * longest
+        after = first + longest if first + longest < red else red + 1  # the place at the region's end belongs to its last tile
+        start, end = max(rst, first - halo), min(red, after + halo)
         dense = np.zeros(end - start)
         for s, e, v in zip(pdf["st"], pdf["ed"], pdf["value"]):
-            dense[max(0, int(s) - start) : int(e) - start] = v
-        rows = [(pdf[region].iloc[0], start + k, d) for k, d in edges_of(dense, min(window, max(1, len(dense) // 2)), step)]
+            dense[max(0, int(s) - start) : max(0, int(e) - start)] = v
+        found = _steps(dense, min(window, max(1, (red - rst) // 2)), step)
+        rows = [(pdf[region].iloc[0], start + k, d) for i, k, d in found if first <= start + i < after]
         return pd.DataFrame(rows, columns=[region, "pos", "step"])
 
-    return runs.groupBy(region).applyInPandas(one, f"`{region}` {runs.schema[region].dataType.simpleString()}, pos bigint, step double")
+    return tiled.groupBy(region, "_tile").applyInPandas(one, f"`{region}` {runs.schema[region].dataType.simpleString()}, pos bigint, step double")
 
 
 def best_paths(edges: dict[str, list[tuple[str, float]]], starts: list[tuple[str, float]], least: float, most: int) -> list[tuple[list[str], float]]:

@@ -47,7 +47,7 @@ def sigmoid_fit(spark, sf):
 @R.add()
 def edge_finder(spark, sf):
     track = C.coverage(view(spark, sf, "iv_lineitem"))
-    islands = I.merge(track, gap=30).filter("ed - st BETWEEN 60 AND 5000").withColumn("region", F.concat("chr", F.lit(":"), F.col("st").cast("string")))
+    islands = I.merge(track, gap=30).withColumn("region", F.concat("chr", F.lit(":"), F.col("st").cast("string")))
     cut = I.overlap_pairs(islands.select("chr", "st", "ed", "region"), track).select("region", F.col("st").alias("rst"), F.col("ed").alias("red"), F.col("b_st").alias("st"), F.col("b_ed").alias("ed"), F.col("b_value").alias("value"))
     return K.slope_edges(cut, "region", window=10, step=1.0)
 

@@ -94,3 +94,15 @@ def test_kernels():
     assert (slope, middle) == pytest.approx((2.5, 3), rel=1e-4) and far == pytest.approx(3 + math.log(99) / 2.5, rel=1e-4)
     dense = np.array([0.0] * 50 + [100.0] * 60 + [0.0] * 50)
     assert [(abs(p - q) <= 1, d > 0) for (p, d), q in zip(K.edges_of(dense, 10, 1.0), (50, 110))] == [(True, True), (True, False)]
+
+
+def test_edges_of_long_regions(spark):
+    rng = random.Random(6)
+    dense = np.repeat([rng.choice([0, 1, 3, 7, 40, 900, 2**40]) for _ in range(4000)], [rng.randrange(1, 20) for _ in range(4000)]).astype(float)
+    cuts = [0, *(np.flatnonzero(np.diff(dense)) + 1).tolist(), len(dense)]
+    rows = [(r, 70, 70 + len(dense), 70 + a, 70 + b, float(dense[a])) for r in ("x", "y") for a, b in zip(cuts, cuts[1:]) if dense[a]]
+    runs = spark.createDataFrame(rows, "region string, rst long, red long, st long, ed long, value double")
+    whole = [(70 + k, d) for k, d in K.edges_of(dense, 10, 1.0)]
+    got = K.slope_edges(runs, "region", window=10, step=1.0, longest=4000).collect()
+    assert len(dense) > 30_000 and len(whole) > 100
+    assert all(sorted((r["pos"], r["step"]) for r in got if r["region"] == g) == whole for g in ("x", "y"))

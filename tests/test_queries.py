@@ -1,9 +1,15 @@
 """Every registered query with SQL against DuckDB, on the smallest tables."""
 
+from collections import defaultdict
+
 import duckdb
+import numpy as np
 import pytest
 
 from locus_spark import catalog
+from locus_spark.functions import kernels as K
+from locus_spark.operators import coverage as C
+from locus_spark.plans.views import view
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,6 +45,29 @@ def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).columns
 
 
+def test_edges_of_all_islands(spark):
+    out = catalog.QUERIES["edge_finder"](spark, SF).collect()
+    track = defaultdict(list)
+    for r in C.coverage(view(spark, SF, "iv_lineitem")).collect():
+        track[r["chr"]].append((r["st"], r["ed"], r["value"]))
+    expected, lengths = [], []
+    for chr_, runs in track.items():
+        islands = []
+        for run in sorted(runs):
+            if islands and run[0] - islands[-1][-1][1] <= 30:
+                islands[-1].append(run)
+            else:
+                islands.append([run])
+        for island in islands:
+            start, end = island[0][0], island[-1][1]
+            dense = np.zeros(end - start)
+            for st, ed, value in island:
+                dense[st - start : ed - start] = value
+            lengths.append(len(dense))
+            expected += [(f"{chr_}:{start}", start + k, d) for k, d in K.edges_of(dense, min(10, max(1, len(dense) // 2)), 1.0)]
+    assert min(lengths) < 60 and sorted(map(tuple, out)) == sorted(expected)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
