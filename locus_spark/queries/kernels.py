@@ -59,7 +59,7 @@ def path_generator(spark, sf):
     two = line.groupBy("gene", F.expr("concat('b', l_linenumber)").alias("src"), F.expr("concat('c', l_partkey % 5)").alias("dst")).agg(F.sum("l_quantity").alias("q"))
     edges = J.shares(one.unionByName(two), "q", ["gene", "src"])
     starts = one.groupBy("gene", F.col("src").alias("node")).agg(F.sum("q").alias("abundance"))
-    return K.generate_paths(edges, starts, "gene", least=1.0, most=50)
+    return K.generate_paths(edges, starts, "gene", least=1.0)
 
 
 @R.add()
@@ -71,9 +71,9 @@ def logistic_fit(spark, sf):
 
 @R.add()
 def assemble_exons(spark, sf):
-    iv = view(spark, sf, "iv_lineitem").filter("gid % 40 = 0").withColumn("strand", F.expr("CASE WHEN strand = '-' THEN '-' ELSE '+' END"))
+    iv = view(spark, sf, "iv_lineitem").withColumn("strand", F.expr("CASE WHEN strand = '-' THEN '-' ELSE '+' END"))
     sj = iv.groupBy("chr", (F.col("st") + 1).alias("st"), "ed", "strand").agg(F.count("*").alias("ucnt"), F.count_if(F.col("w") > 0.05).alias("mcnt"))
-    made = A.assemble(sj, C.coverage(view(spark, sf, "iv_orders")), longest=200)
+    made = A.assemble(sj, C.coverage(view(spark, sf, "iv_orders")))
     return made["ex"].select("chr", "strand", "st", "ed", "kind", "cat", "_gidx", "gname", F.round("cov", 6).alias("cov"))
 
 

@@ -1,14 +1,16 @@
 """Every registered query with SQL against DuckDB, on the smallest tables."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from locus_spark import catalog
 from locus_spark.functions import kernels as K
 from locus_spark.operators import coverage as C
+from locus_spark.plans import assembly as A
 from locus_spark.plans.views import view
 
 SF = "/root/testdata/sf0.001"
@@ -68,6 +70,36 @@ def test_edges_of_all_islands(spark):
     assert min(lengths) < 60 and sorted(map(tuple, out)) == sorted(expected)
 
 
+def test_all_paths(spark):
+    out = catalog.QUERIES["path_generator"](spark, SF).collect()
+    one, two = defaultdict(float), defaultdict(float)
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_linenumber", "l_quantity").collect():
+        g, a, b, c = r[0] % 20, f"a{r[1] % 3}", f"b{r[2]}", f"c{r[1] % 5}"
+        one[g, a, b] += float(r[3])
+        two[g, b, c] += float(r[3])
+    from_b = defaultdict(float)
+    for (g, b, _), q in two.items():
+        from_b[g, b] += q
+    expected = {(g, f"{a}>{b}>{c}"): q * p / from_b[g, b] for (g, a, b), q in one.items() for (h, d, c), p in two.items() if (g, b) == (h, d)}
+    expected = {k: v for k, v in expected.items() if v >= 1}
+    assert max(Counter(g for g, _ in expected).values()) > 50 and len(out) == len(expected)
+    assert all(abs(r["abundance"] - expected[r["gene"], r["path"]]) < 1e-6 for r in out)
+
+
+def test_assembles_all_rows(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def assemble(sj, track, **options):
+        raise Seen(sj, options)
+
+    monkeypatch.setattr(A, "assemble", assemble)
+    with pytest.raises(Seen) as seen:
+        catalog.QUERIES["assemble_exons"](spark, SF)
+    sj, options = seen.value.args
+    assert sj.agg(F.sum("ucnt")).first()[0] == spark.read.parquet(f"{SF}/lineitem.parquet").count() and not options
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
