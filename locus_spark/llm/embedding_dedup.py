@@ -27,7 +27,8 @@ from locus_spark.plans.materialize import broadcast_if_small
 
 BLOCK = 8  # dimensions of a block
 TILE = 8192  # rows of a chunk of a slab
-SLACK = 1e-5  # added to every radius: block distances are computed in single precision
+SLACK = 1e-5  # added to every radius: candidates are found in single precision, and decided with half of it
+TURN = 256  # rows rotated at once
 
 
 def rotation(n: int) -> np.ndarray:
@@ -50,6 +51,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _turn(x: np.ndarray) -> np.ndarray:
+    """Unit rows, rotated in blocks of one shape, so that a row's values do not depend on the rows beside it."""
+    padded = np.zeros((-(-len(x) // TURN) * TURN, x.shape[1]))
+    padded[: len(x)] = x
+    turn = rotation(x.shape[1])
+    return np.concatenate([padded[s : s + TURN] @ turn for s in range(0, len(padded), TURN)])[: len(x)]
+
+
+def _within(turned: np.ndarray, p: np.ndarray, q: np.ndarray, part: tuple[int, int], most: float) -> np.ndarray:
+    """Whether pairs are in a block's budget: every block decides this alike, in double precision."""
+    away = turned[p, part[0] : part[1]] - turned[q, part[0] : part[1]]
+    away *= away
+    return sum(away[:, c] for c in range(away.shape[1])) <= most - SLACK / 2
+
+
 def _pack(x: np.ndarray) -> list[bytes]:
     """Rows as bytes, in single precision where that loses nothing."""
     short = x.astype(np.float32)
@@ -104,10 +120,10 @@ def _join(threshold: float):
                 n, k = int(dims[lo]), int(block[lo])
                 ids, copies, side, home = all_ids[lo:hi], all_copies[lo:hi], all_sides[lo:hi], all_home[lo:hi]
                 x = _unit(_unpack(vectors.slice(lo, hi - lo).to_pylist(), n))
-                turned = (x @ rotation(n)).astype(np.float32)
+                turned = _turn(x)
                 parts, most = spans(n), shares(n, threshold)
                 a, b = parts[k]
-                own = turned[:, a:b]
+                own = turned[:, a:b].astype(np.float32)
                 square = (own * own).sum(1)
                 one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
                 if not len(one) or not len(two):
@@ -116,7 +132,7 @@ def _join(threshold: float):
                 strip = max(1, (1 << 20) // len(two))  # a million pairs at most are held at once
                 for s in range(0, len(one), strip):
                     rows = one[s : s + strip]
-                    i, j = np.nonzero(square[rows, None] + square[two] - 2 * (own[rows] @ own[two].T) <= most[k])
+                    i, j = np.nonzero(square[rows, None] + square[two] - 2 * (own[rows] @ own[two].T) <= most[k] + SLACK)
                     i, j = rows[i], two[j]
                     # Visitors meet each other at home, not here; in one chunk each pair shows up twice.
                     use = ((home[i] | home[j]) > 0) & ((i < j) | (side[i] != 2) | (side[j] != 2))
@@ -124,11 +140,9 @@ def _join(threshold: float):
                     good = np.zeros(len(i), bool)
                     for at in range(0, len(i), 1 << 15):
                         p, q = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-                        first = np.ones(len(p), bool)
+                        first = _within(turned, p, q, parts[k], most[k])
                         for e in range(k):  # an earlier block has this pair already
-                            c, d = parts[e]
-                            away = turned[p, c:d] - turned[q, c:d]
-                            first &= np.einsum("ij,ij->i", away, away) > most[e]
+                            first &= ~_within(turned, p, q, parts[e], most[e])
                         good[at : at + (1 << 15)] = first & (np.einsum("ij,ij->i", x[p], x[q]) >= threshold)
                     i, j = i[good], j[good]
                     if len(i):

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from locus_spark.llm import embedding_dedup as E
@@ -172,3 +173,25 @@ def test_top_k_wide_numbers_and_empty(spark):
     a = [30_000_000 * 1024, 20_000_000 * 1024]
     assert got == {1: min(a[0] ** 2 + a[1] ** 2, 2**63 - 1), 2: max(-(a[0] ** 2) + a[1] * 10_000_000 * 1024, -(2**63)), 3: 2**63 - 1}
     assert S.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_pairs_at_a_budget():
+    rng, n, threshold = np.random.default_rng(8), 16, 0.98
+    turn, share = E.rotation(n), E.shares(n, threshold)[0]
+    vectors = []
+    for k in range(2000):
+        d, c = rng.standard_normal(n), rng.standard_normal(n)
+        d[:8] *= np.sqrt((share - (k % 2) * E.SLACK / 2) * (1 + rng.uniform(-1, 1) * 1e-6)) / np.linalg.norm(d[:8])
+        d[8:] *= np.sqrt(0.005) / np.linalg.norm(d[8:])
+        c -= d * (c @ d) / (d @ d)
+        c *= np.sqrt(1 - d @ d / 4) / np.linalg.norm(c)
+        vectors += [(c + d / 2) @ turn.T, (c - d / 2) @ turn.T]
+    rows = len(vectors)
+    counts = np.zeros(rows)
+    for block in range(2):
+        tile = {"tile_key": np.arange(rows) // 2, "side": np.full(rows, 2), "class": np.arange(rows), "copies": np.ones(rows, int), "home": np.ones(rows, int)}
+        tile |= {"block": np.full(rows, block), "dims": np.full(rows, n)}
+        batch = pa.RecordBatch.from_pydict({**{c: pa.array(v) for c, v in tile.items()}, "v": pa.array(E._pack(np.array(vectors)), pa.binary())})
+        for out in E._join(threshold)(iter([batch])):
+            np.add.at(counts, out["id"].to_numpy(), out["links"].to_numpy())
+    assert (counts == 1).all()
