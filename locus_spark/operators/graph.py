@@ -5,19 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locus_spark.plans.materialize import materialize
+from locus_spark.plans.materialize import BROADCAST_BYTES, broadcast_if_small, materialize, scratch
 from locus_spark.plans.ranking import number_rows
 
 
-def _stars(edges: DataFrame, small: bool) -> DataFrame:
-    """One star step on edges (u, v).
+#: A node of more edges than this is a hub; its edges meet its minimum by a broadcast.
+HUB = 100_000
 
-    The minimum per node is a grouped aggregate joined back, not a window: partial
-    aggregation shrinks hubs before the shuffle and AQE may split a skewed join.
-    """
+
+def _with_least(both: DataFrame, least: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Edges with the minimum of their first end, without gathering a hub's edges in one task."""
+    small = broadcast_if_small(least, row_bytes, rows)
+    if small is not least:
+        return both.join(small.drop("n"), "u")
+    hubs = least.filter(f"n > {HUB}")
+    found = hubs.count()
+    if not found:
+        return both.join(least.drop("n"), "u")
+    hubs = broadcast_if_small(hubs, row_bytes, found)
+    rest = both.join(hubs.select("u"), "u", "left_anti").join(least.drop("n"), "u")
+    return rest.unionByName(both.join(hubs.drop("n"), "u"))
+
+
+def _stars(edges: DataFrame, small: bool, rows: int, row_bytes: int) -> DataFrame:
+    """One star step on edges (u, v); ``rows`` bounds its nodes. Partial aggregation shrinks hubs before the shuffle."""
     both = edges if small else edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    linked = both.join(least, "u")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    if rows * row_bytes > BROADCAST_BYTES:
+        least = materialize(least, "least")
+    linked = _with_least(both, least, rows, row_bytes)
     if small:
         moved = linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.unionAll(least.filter("u <> m").select("u", F.col("m").alias("v"))).distinct()
@@ -29,21 +45,28 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     ``component`` is the smallest node of the component. Alternating large and small
     stars halve the depth of every tree, so the rounds grow with the logarithm of the
-    longest path. Every round is written to the shared folder. Self loops keep their
-    node; edges with a null end are dropped.
+    longest path. Every round is written to the shared folder, and deleted once the next
+    one stands. Self loops keep their node; edges with a null end are dropped.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    pairs = materialize(pairs.distinct(), "edges")
-    alone = pairs.filter("a = b").select(F.col("a").alias("node"))
-    now = pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    for _ in range(max_rounds):
-        now = materialize(_stars(_stars(now, small=False), small=True), "stars")
-        # Done once every edge ends at a root: each node has one edge and no root has any.
-        edges_left, nodes = now.agg(F.count("*"), F.count_distinct("u")).first()
-        if edges_left == nodes and now.select("v").join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not converge")
+    with scratch(edges.sparkSession) as keep:
+        pairs = materialize(pairs.distinct(), "edges")
+        alone = keep(materialize(pairs.filter("a = b").select(F.col("a").alias("node")), "loops"))
+        now = pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        rows, row_bytes = 2 * pairs.count(), 80 if pairs.schema["a"].dataType.simpleString() == "string" else 24
+        for _ in range(max_rounds):
+            with scratch(edges.sparkSession) as keep_round:
+                large = _stars(now, small=False, rows=rows, row_bytes=row_bytes)
+                if rows * row_bytes > BROADCAST_BYTES:
+                    large = materialize(large, "large-stars")
+                now = keep_round(materialize(_stars(large, small=True, rows=rows, row_bytes=row_bytes), "stars"))
+            # Done once every edge ends at a root: each node has one edge and no root has any.
+            edges_left, nodes = now.agg(F.count("*"), F.count_distinct("u")).first()
+            if edges_left == nodes and now.select("v").join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+                break
+        else:
+            raise RuntimeError("components did not converge")
+        keep(now)
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
     return found.unionAll(alone.join(found, "node", "left_anti").withColumn("component", F.col("node")).distinct())

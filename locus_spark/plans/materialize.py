@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only where the session names no shared folder and all of it runs on this machine.
 LOCAL_FOLDER = "/tmp/checkpoints"
 
 #: A table is broadcast only up to so many estimated bytes; beyond that Spark shuffles.
@@ -15,8 +17,11 @@ BROADCAST_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER).rstrip("/")
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a local one, on local masters alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (folder or LOCAL_FOLDER).rstrip("/")
 
 
 _written: list[str] = []
@@ -25,22 +30,47 @@ _written: list[str] = []
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Later jobs start from the files, so a lost executor costs only its running tasks.
-    The files stay until ``drop_materialized``, as lazy results may still read them.
+    Later jobs start from the files, so a lost executor costs only its running tasks. The
+    files stay until the ``scratch`` around them ends or ``drop_materialized`` is called.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_to"] = path
+    return out
 
 
-def drop_materialized(spark: SparkSession) -> None:
-    """Delete what this process has materialized; call it once the results are written."""
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        _written.remove(name)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete at the end what was materialized inside, but for tables given to the yielded ``keep``.
+
+    What leaves the block must read kept tables alone.
+    """
+    first, kept = len(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.__dict__["_written_to"])
+        return df
+
+    try:
+        yield keep
+    finally:
+        _delete(spark, [p for p in _written[first:] if p not in kept])
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete what this process has materialized; call it once the results are written."""
+    _delete(spark, list(_written))
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
