@@ -1,18 +1,18 @@
 """Exact top-k search by a three-phase uniform threshold (operator 2).
 
 The score, an integer inner product, is a sum over blocks of dimensions; each block of
-each data tile is a node with its own list of partial scores per query.
-
-1. Every node names its best entries. Their whole scores are looked up, and the k-th
-   best of all that were named is a score that the answer can't fall below: the cutoff.
-2. The cutoff goes to all tiles with the queries. An entry whose partial score is below
-   cutoff / blocks in every block has a sum below the cutoff; every node collects its
-   entries at or above that uniform share.
-3. The scores of the collected entries are resolved exactly; those at or above the
-   cutoff are ranked.
-
-Queries and rows meet in tiles of bounded size (query tile x data tile), so neither side
-is broadcast and no task holds a whole side.
+each partition of the rows is a node with its own list of partial scores per query.
+Queries go out in blocks of bounded bytes, rows stay where they are.
+
+1. Every node names its best entries by partial score. The whole scores of named entries
+   alone are looked up; the k-th best of them over all nodes is a score that the answer
+   can't fall below: the cutoff.
+2. The cutoffs are broadcast with the queries. If all partial scores of an entry were
+   below cutoff / blocks, their sum would be below the cutoff: every node collects its
+   entries at or above that share. Rows whose length in a block can't reach the share for
+   any query are left out before the product.
+3. Collected entries that can still reach the cutoff, given their partial score and the
+   lengths of the rest, are resolved exactly; those at or above the cutoff are ranked.
 """
 
 from __future__ import annotations
@@ -25,86 +25,133 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locus_spark.llm.common import materialize, whole_groups
-
-BLOCKS = 4
-NAMED = 16  # entries that a node names for each of its best k / 10
-QUERY_TILE, DATA_TILE = 512, 8192
-STRIP = 64  # queries compared at once with a data tile
-
-_HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-
-def _matrix(column: pa.Array, n: int) -> np.ndarray:
-    """Rows of integers: as floats if no sum of products can round, else as Python integers."""
-    x = np.asarray(column.flatten()).reshape(-1, n)
-    return x.astype(np.float64)
-
-
-def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
-    if most < 2**52:
-        return q @ x.T
-    whole = np.vectorize(int, otypes=[object])
-    return whole(q) @ whole(x).T
-
-
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k highest scores, ties to the smaller id."""
-    if len(score) > k:
-        least = np.partition(score, len(score) - k)[len(score) - k]
-        use = np.flatnonzero(score >= least)
-    else:
-        use = np.arange(len(score))
-    return use[np.lexsort((ids[use], -score[use]))[:k]] if score.dtype != object else np.array(
-        sorted(use.tolist(), key=lambda e: (-score[e], ids[e]))[:k], np.int64)
-
-
-def _clip(score: np.ndarray) -> np.ndarray:
-    if score.dtype == object:
-        return np.array([min(max(int(s), -(1 << 63)), (1 << 63) - 1) for s in score], np.int64)
-    return score.astype(np.int64)
-
-
-def _phase(k: int, second: bool):
-    """Phase 1, or phases 2 and 3, of one (query tile, data tile)."""
-
+from locus_spark.llm.common import bound_batches, materialize
+from locus_spark.plans.materialize import scratch
+
+BLOCKS = 2
+QUERY_BYTES = 16 << 20  # query vectors that are broadcast at once
+STRIP = 64  # queries compared at once with a batch of rows
+PAIRS = 1 << 15  # pairs resolved at once
+HELD = 1 << 20  # hits that a task holds before it cuts them to the best k of each query
+EXACT = 2.0**52  # sums of products below this don't round in doubles
+ROUNDING = 2.0**-40  # of the product of two lengths: more than the rounding of a partial score
+
+_HITS = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def dot(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows, held at the bounds of 64 bits."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
+    if most < EXACT:
+        return np.einsum("ij,ij->i", q, x).astype(np.int64)
+    sums = [sum(int(a) * int(b) for a, b in zip(p, r)) for p, r in zip(q.tolist(), x.tolist())]
+    return np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in sums], np.int64)
+
+
+def parts(n: int) -> list[slice]:
+    """The blocks of n dimensions."""
+    edges = np.linspace(0, n, min(BLOCKS, max(1, n)) + 1).astype(int)
+    return [slice(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+
+class Asked:
+    """A block of queries of one length, with their cutoffs (-inf: none)."""
+
+    def __init__(self, number: np.ndarray, ids: np.ndarray, v: np.ndarray, cutoff: np.ndarray):
+        # Queries of like cutoffs share a strip.
+        order = np.argsort(-cutoff, kind="stable")
+        self.number, self.ids, self.v, self.cutoff = number[order], ids[order], v[order], cutoff[order]
+
+
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the k highest scores of each query, ties to the smaller id."""
+    order = np.lexsort((ids, ~score, query))
+    own = query[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, int)
+    rank = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+    return order[rank < k]
+
+
+def _name(asked: Asked, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Phase 1: (query, row, whole score) of the entries that the nodes of a batch name."""
+    for s in range(0, len(asked.v), STRIP):
+        q, named = asked.v[s : s + STRIP], []
+        for p in parts(x.shape[1]):
+            local = q[:, p] @ x[:, p].T
+            local[asked.ids[s : s + STRIP, None] == ids] = -np.inf
+            most = min(k, len(x))
+            named.append(np.argpartition(-local, most - 1, axis=1)[:, :most] if most else np.zeros((len(q), 0), int))
+        i = np.repeat(np.arange(len(q)), sum(n.shape[1] for n in named))
+        pairs = np.unique(np.stack([i, np.concatenate(named, 1).ravel()]), axis=1)
+        i, j = pairs[:, ids[pairs[1]] != asked.ids[s + pairs[0]]]
+        yield i + s, j, _resolve(q, x, i, j)
+
+
+def _resolve(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    out = [dot(q[i[at : at + PAIRS]], x[j[at : at + PAIRS]]) for at in range(0, len(i), PAIRS)]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _collect(asked: Asked, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Phases 2 and 3: (query, row, whole score) of all entries at or above the cutoffs."""
+    cuts = parts(x.shape[1])
+    long = np.stack([np.linalg.norm(x[:, p], axis=1) for p in cuts])
+    wide = np.linalg.norm(x, axis=1)
+    for s in range(0, len(asked.v), STRIP):
+        q, cutoff = asked.v[s : s + STRIP], asked.cutoff[s : s + STRIP]
+        share, size = cutoff / len(cuts), np.linalg.norm(q, axis=1)
+        found = []
+        for b, p in enumerate(cuts):
+            own = np.linalg.norm(q[:, p], axis=1)
+            slack = ROUNDING * size.max(initial=0) * wide
+            # Rows too short in this block for every query of the strip are left out.
+            with np.errstate(divide="ignore", invalid="ignore"):
+                reach = np.where(own > 0, share / own, np.where(share <= 0, -np.inf, np.inf)).min(initial=np.inf)
+            rows = np.flatnonzero(long[b] * (1 + ROUNDING) + slack >= reach) if np.isfinite(reach) and reach > 0 else np.arange(len(x) if reach < np.inf else 0)
+            local = q[:, p] @ x[rows][:, p].T
+            i, at = np.nonzero(local + slack[rows] >= share[:, None])
+            j, rest = rows[at], np.sqrt(np.maximum(size**2 - own**2, 0))
+            left = np.sqrt(np.maximum(wide[j] ** 2 - long[b][j] ** 2, 0))
+            near = local[i, at] + rest[i] * left + 2.0**-20 * size[i] * wide[j] + 1 >= cutoff[i]
+            found.append(np.stack([i[near], j[near]]))
+        i, j = np.unique(np.concatenate(found, 1), axis=1)
+        other = ids[j] != asked.ids[s + i]
+        i, j = i[other], j[other]
+        score = _resolve(q, x, i, j)
+        enough = score >= cutoff[i]
+        yield i[enough] + s, j[enough], score[enough]
+
+
+def _phase(asked: dict[int, Asked], k: int, second: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cuts in whole_groups(batches, "tile_key", 4 << 20):
-            is_query, ids, cutoff, dims = (table.column(c).to_numpy() for c in ("is_query", "vec_id", "cutoff", "dims"))
-            vectors = table.column("v").combine_chunks()
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                n = int(dims[lo])
-                x = _matrix(vectors.slice(lo, hi - lo), n)
-                asks, rows = np.flatnonzero(is_query[lo:hi]), np.flatnonzero(~is_query[lo:hi])
-                if not len(asks) or not len(rows):
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def best() -> list[np.ndarray]:
+            query, ids, score, query_id = (np.concatenate(c) for c in zip(*held))
+            take = _best(query, ids, score, k)
+            return [query[take], ids[take], score[take], query_id[take]]
+
+        for batch in batches:
+            dims, ids = batch.column("dims").to_numpy(), batch.column("vec_id").to_numpy()
+            for n in np.unique(dims).tolist():
+                if n not in asked:
                     continue
-                own, data, parts = ids[lo:hi][rows], x[rows], np.array_split(np.arange(n), min(BLOCKS, max(1, n)))
-                out: list[tuple[int, np.ndarray, np.ndarray]] = []
-                for s in range(0, len(asks), STRIP):
-                    strip = asks[s : s + STRIP]
-                    local = [_product(x[strip][:, p], data[:, p]) for p in parts]
-                    whole = sum(local[1:], local[0])
-                    for r, ask in enumerate(strip.tolist()):
-                        me, least = ids[lo + ask], cutoff[lo + ask]
-                        if second:
-                            share = least / len(parts)
-                            take = np.zeros(len(own), bool)
-                            for score in local:
-                                take |= (score[r] >= share - 1e-6 * abs(share)).astype(bool)
-                            take &= (whole[r] >= least).astype(bool)
-                        else:
-                            take = np.zeros(len(own), bool)
-                            for score in local:
-                                take[_best(score[r], own, NAMED * -(-k // 10))] = True
-                        take &= own != me
-                        at = np.flatnonzero(take)
-                        at = at[_best(whole[r][at], own[at], k)] if len(at) else at
-                        out.append((me, own[at], _clip(whole[r][at])))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]), pa.int64()),
-                    pa.array(np.concatenate([o[1] for o in out]), pa.int64()), pa.array(np.concatenate([o[2] for o in out]), pa.int64()),
-                ], schema=_HITS)
+                use, some = np.flatnonzero(dims == n), asked[n]
+                x = np.asarray(batch.column("v").take(pa.array(use)).flatten(), float).reshape(len(use), n)
+                for i, j, score in _collect(some, ids[use], x) if second else _name(some, ids[use], x, k):
+                    held.append([some.number[i], ids[use][j], score, some.ids[i]])
+                    size += len(i)
+                    if size > HELD:
+                        held[:] = [best()]
+                        size = len(held[0][0])
+                        if size > HELD // 2:  # many queries: the best of this much go on as they are
+                            yield pa.RecordBatch.from_arrays([pa.array(held[0][c]) for c in (0, 3, 1, 2)], schema=_HITS)
+                            held.clear()
+                            size = 0
+        if held:
+            out = best()
+            yield pa.RecordBatch.from_arrays([pa.array(out[c]) for c in (0, 3, 1, 2)], schema=_HITS)
 
     return run
 
@@ -114,44 +161,57 @@ def top_k(
 ) -> DataFrame:
     """The k highest inner products of every query with all other rows.
 
-    Components become floor(scale * x), x as double. Returns (query_id long, rank int
-    from 1, vec_id long, score long); ties go to the smaller vec_id; a query with fewer
-    than k candidates has them all.
+    Components become floor(scale * x), x as double, held at the bounds of 64 bits.
+    Returns (query_id long, rank int from 1, vec_id long, score long); ties go to the
+    smaller vec_id; a query with fewer than k candidates has them all.
 
     Vectors that are null or hold null or non-finite components, and rows with a null id,
     take no part. Only vectors as long as the query are its candidates (empty ones score
-    0). An id stands for one vector: of rows that repeat an id the largest vector counts.
-    Scores beyond 64 bits are held at the nearest long. An empty table gives no rows;
-    other columns are ignored.
+    0). Every row is a candidate of its own, also if it repeats an id or a whole row; rows
+    with the query's id are not its candidates. Every query row is answered by itself, so
+    an id that is asked twice has its ranks twice. Scores beyond 64 bits are held at the
+    nearest long. An empty table gives no rows; other columns are ignored.
     """
+    spark = vectors.sparkSession
+    bound_batches(vectors)
 
     def ready(df: DataFrame) -> DataFrame:
         df = df.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"))
         df = df.filter("vec_id IS NOT NULL AND v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
-        df = df.groupBy("vec_id").agg(F.max("v").alias("v"))
-        return df.withColumn("v", F.transform("v", lambda x: F.floor(x * F.lit(scale)).cast("double")))
-
-    data = materialize(ready(vectors).withColumn("dims", F.size("v")), "search-rows")
-    asked = materialize(ready(queries).withColumn("dims", F.size("v")), "search-queries")
-    most = max(1, -(-data.count() // DATA_TILE))
-    asks = max(1, -(-asked.count() // QUERY_TILE))
-    at, to = F.pmod(F.xxhash64("vec_id"), F.lit(most)), F.pmod(F.xxhash64("vec_id"), F.lit(asks))
-
-    def dealt(asked: DataFrame) -> DataFrame:
-        none = F.lit(None).cast("double")
-        left = asked.select("vec_id", "v", "dims", "cutoff", F.lit(True).alias("is_query"), to.alias("q"), F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("d"))
-        right = data.select("vec_id", "v", "dims", none.alias("cutoff"), F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("q"), at.alias("d"))
-        both = left.unionByName(right).withColumn("tile_key", F.xxhash64("q", "d", "dims"))
-        return both.select("tile_key", "is_query", "vec_id", "cutoff", "dims", "v").repartition("tile_key").sortWithinPartitions("tile_key")
-
-    schema = "query_id long, vec_id long, score long"
-    by_query = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = dealt(asked.withColumn("cutoff", F.lit(0.0))).mapInArrow(_phase(k, second=False), schema)
-    kth = first.withColumn("rank", F.row_number().over(by_query)).filter(f"rank <= {k}").groupBy("query_id").agg(
-        F.min("score").cast("double").alias("least"), F.count("*").alias("n"))
-    # With fewer than k entries named there is no safe cutoff: everything is collected.
-    cut = materialize(asked.join(kth, asked["vec_id"] == kth["query_id"], "left").withColumn(
-        "cutoff", F.expr(f"CASE WHEN n >= {k} THEN least ELSE double('-infinity') END")).select("vec_id", "v", "dims", "cutoff"), "search-cutoffs")
-    second = dealt(cut).mapInArrow(_phase(k, second=True), schema)
-    ranked = second.withColumn("rank", F.row_number().over(by_query).cast("int")).filter(f"rank <= {k}")
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        return df.withColumn("v", F.transform("v", lambda x: F.floor(x * F.lit(scale)).cast("double"))).withColumn("dims", F.size("v"))
+
+    schema = "query long, query_id long, vec_id long, score long"
+    by_query = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    answers = None
+    with scratch(spark) as keep:
+        data = materialize(ready(vectors), "search-rows")
+        asked = materialize(ready(queries).withColumn("number", F.monotonically_increasing_id()), "search-queries")
+        size = asked.agg(F.sum(F.lit(8) * F.col("dims") + 64)).first()[0] or 0
+        rounds = -(-size // QUERY_BYTES)
+        for r in range(rounds):
+            # About QUERY_BYTES of queries, by a hash of their numbers.
+            block = asked.filter(F.pmod(F.xxhash64("number"), F.lit(rounds)) == r).toArrow()
+            number, ids, dims = (block.column(c).to_numpy() for c in ("number", "vec_id", "dims"))
+            cutoff = np.full(len(number), -np.inf)
+
+            def broadcast() -> dict[int, Asked]:
+                out = {}
+                for n in np.unique(dims).tolist():
+                    use = np.flatnonzero(dims == n)
+                    v = np.asarray(block.column("v").combine_chunks().take(pa.array(use)).flatten(), float).reshape(len(use), n)
+                    out[n] = Asked(number[use], ids[use], v, cutoff[use])
+                return out
+
+            first = data.mapInArrow(_phase(broadcast(), k, second=False), schema)
+            kth = first.withColumn("rank", F.row_number().over(by_query)).filter(f"rank = {k}").select("query", "score").toArrow()
+            # With fewer than k entries named there is no safe cutoff: everything is collected.
+            at = {q: i for i, q in enumerate(number.tolist())}
+            for q, score in zip(kth.column("query").to_pylist(), kth.column("score").to_pylist()):
+                cutoff[at[q]] = np.nextafter(float(score), -np.inf) if abs(score) >= EXACT else score
+                if score == -(1 << 63):
+                    cutoff[at[q]] = -np.inf
+            second = data.mapInArrow(_phase(broadcast(), k, second=True), schema)
+            ranked = second.withColumn("rank", F.row_number().over(by_query).cast("int")).filter(f"rank <= {k}")
+            ranked = keep(materialize(ranked.select("query_id", "rank", "vec_id", "score"), "search-answers"))
+            answers = ranked if answers is None else answers.unionByName(ranked)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if answers is None else answers

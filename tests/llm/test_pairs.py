@@ -154,18 +154,37 @@ def brute_top(rows, queries, k):
     return out
 
 
-@pytest.mark.parametrize("tiles", [(3, 7), (512, 8192)])
-def test_top_k(spark, monkeypatch, tiles):
-    monkeypatch.setattr(S, "QUERY_TILE", tiles[0])
-    monkeypatch.setattr(S, "DATA_TILE", tiles[1])
+@pytest.mark.parametrize("bytes_at_once", [900, 16 << 20])
+def test_top_k(spark, monkeypatch, bytes_at_once):
+    monkeypatch.setattr(S, "QUERY_BYTES", bytes_at_once)
     rng = np.random.default_rng(5)
     rows = [(k, [float(x) for x in np.float32(rng.integers(-2, 3, 9) / 4)]) for k in range(60)]  # many ties
-    rows += [(100, None), (200, [None] * 9), (300, [float("nan")] * 9), (400, [0.0] * 9), (500, [1.0, 2.0]), (501, [3.0, 1.0])]
+    rows += [(100, None), (200, [None] * 9), (300, [float("nan")] * 9), (400, [0.0] * 9), (500, [1.0, 2.0]), (501, [3.0, 1.0]), (510, []), (511, [])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int")
     got = {tuple(r) for r in S.top_k(df, df.filter("vec_id % 10 = 0"), k=10).collect()}
     assert got == brute_top(rows, [r[0] for r in rows if r[0] % 10 == 0], 10)
 
 
+def test_top_k_of_near_copies(spark, monkeypatch):
+    """Cutoffs prune: most rows are far from every query."""
+    monkeypatch.setattr(S, "STRIP", 3)
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((12, 32))
+    rows = [(k, [float(x) for x in (base[k % 12] + 0.1 * rng.standard_normal(32)) * rng.choice([0.1, 1, 2])]) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {tuple(r) for r in S.top_k(df, df.filter("vec_id % 7 = 0"), k=4).collect()}
+    assert got == brute_top(rows, [r[0] for r in rows if r[0] % 7 == 0], 4)
+
+
+def test_top_k_repeated_ids(spark):
+    rows = [(1, [1.0, 1.0]), (1, [5.0, 0.0]), (1, [0.0, 9.0]), (1, [0.0, 9.0]), (2, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in S.top_k(df, df.filter("vec_id = 2"), k=3).collect())
+    assert got == [(2, 1, 1, 18 << 20), (2, 2, 1, 18 << 20), (2, 3, 1, 5 << 20)]
+    twice = S.top_k(df, df.filter("vec_id = 1"), k=3).collect()
+    assert sorted(r["score"] >> 20 for r in twice) == [3, 5, 18, 18] and {r["vec_id"] for r in twice} == {2}
+
+
 def test_top_k_wide_numbers_and_empty(spark):
     rows = [(0, [3e7, 2e7]), (1, [3e7, 2e7]), (2, [-3e7, 1e7]), (3, [1e30, 1e30])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
