@@ -14,30 +14,43 @@ from pyspark.sql import functions as F
 MAX_BLOCK = 500  # unknowns of one system; larger blocks take length-weighted means
 
 
-def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Non-negative least squares by the active-set method."""
-    n, gram, right = a.shape[1], a.T @ a, a.T @ b
-    x, on = np.zeros(n), np.zeros(n, bool)
+def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of a x = b, or the shortest best one where that is no good."""
+    try:
+        x = np.linalg.solve(a, b)
+        if np.abs(a @ x - b).max() <= 1e-9 * max(1.0, float(np.abs(b).max())):
+            return x
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.lstsq(a, b, rcond=None)[0]
+
+
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """Non-negative x that minimises |a x - b|, by the active-set method on normal equations."""
+    gram, right = a.T @ a, a.T @ b
+    x, active = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     slope = right.copy()
-    limit = 1e-10 * max(1.0, float(np.abs(slope).max(initial=0)))
-    for _ in range(3 * n + 3):
-        if on.all() or slope[~on].max(initial=-np.inf) <= limit:
+    scale = max(1e-12, float(np.abs(right).max(initial=0))) * 1e-9
+    for _ in range(rounds or 3 * a.shape[1]):
+        free = np.where(active, -np.inf, slope)
+        k = int(free.argmax())
+        if free[k] <= scale:
             break
-        on[np.where(on, -np.inf, slope).argmax()] = True
+        active[k] = True
         while True:
-            z = np.zeros(n)
-            z[on] = np.linalg.lstsq(gram[np.ix_(on, on)], right[on], rcond=None)[0]
-            bad = on & (z <= 0)
-            if not bad.any():
+            on = np.flatnonzero(active)
+            z = _solve(gram[np.ix_(on, on)], right[on])
+            if (z > 0).all():
+                x[:] = 0
+                x[on] = z
                 break
-            with np.errstate(divide="ignore", invalid="ignore"):
-                step = np.where(bad & (x > z), x / (x - z), np.inf).min()
-            if not np.isfinite(step):
-                on[bad] = False
-                continue
-            x = x + step * (z - x)
-            on[on & (x <= 1e-12)] = False
-        x = z
+            low = z <= 0
+            step = np.min(x[on][low] / np.maximum(x[on][low] - z[low], 1e-300))
+            x[on] += step * (z - x[on])
+            off = on[low & (x[on] <= 1e-9 * max(1.0, x.max()))]
+            if not len(off):
+                off = on[low][:1]
+            x[off], active[off] = 0, False
         slope = right - gram @ x
     return x
 
