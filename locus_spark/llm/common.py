@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locus_spark.operators.graph import connected_components
-from locus_spark.plans.materialize import materialize  # noqa: F401  for the operators
+from locus_spark.plans.materialize import broadcast_if_small, materialize
 
 #: Python works through a batch in blocks of about so many bytes of text.
 BLOCK_BYTES = 1 << 20
@@ -79,17 +79,21 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray | None = None)
     return root
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int = 8 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups of a stream sorted by ``key``, and the cuts between groups.
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 8 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of a stream sorted by ``keys``, and the cuts between groups.
 
-    About ``most`` bytes are held, or one group if it is larger.
+    About ``most`` bytes are held, or one group if it is larger. Keys are compared as they
+    are, not by a hash.
     """
     held: list = []
     size, enough = 0, most
 
     def cut(table: pa.Table) -> np.ndarray:
-        keys = table.column(key).to_numpy()
-        return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        new = np.zeros(len(table) - 1, bool)
+        for key in keys:
+            column = table.column(key).combine_chunks()
+            new |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+        return np.concatenate([[0], np.flatnonzero(new) + 1, [len(table)]])
 
     for batch in batches:
         if not batch.num_rows:
@@ -101,44 +105,56 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int = 8 << 2
             cuts = cut(table)
             if cuts[-2]:
                 yield table.slice(0, cuts[-2]).combine_chunks(), cuts[:-1]
-                table = pa.Table.from_batches([pa.record_batch([pa.array([], f.type) for f in table.schema], schema=table.schema)]) if cuts[-2] == len(table) else table.slice(cuts[-2]).combine_chunks()
+                table = table.slice(cuts[-2]).combine_chunks()
             held, size = [table], table.nbytes
             enough = max(most, 2 * size)
     if held:
         table = pa.concat_tables(held).combine_chunks()
-        if table.num_rows:
-            yield table, cut(table)
+        yield table, cut(table)
 
 
-def tiled(df: DataFrame, key: str, chunks: str, salt: str) -> DataFrame:
+def tiled(df: DataFrame, chunks: str, salt: str) -> DataFrame:
     """Deal a group of several chunks out to all pairs of chunks.
 
-    tile_key names the pair; side is 0 or 1 for the first or second chunk, 2 if both are one.
+    (one, two) names the pair within the group; side is 0 or 1 for the first or second
+    chunk, 2 if both are one.
     """
     own = F.pmod(F.xxhash64(salt), F.col(chunks)).cast("int")
     df = df.withColumn("_own", own).withColumn("_other", F.explode(F.expr(f"sequence(0, cast({chunks} AS INT) - 1)")))
     return df.select(
         "*",
-        F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other")).alias("tile_key"),
+        F.least("_own", "_other").alias("one"),
+        F.greatest("_own", "_other").alias("two"),
         F.expr("CASE WHEN _own = _other THEN 2 WHEN _own < _other THEN 0 ELSE 1 END").alias("side"),
     ).drop("_own", "_other")
 
 
-def link_report(rows: DataFrame, members: DataFrame, stars: DataFrame, id_name: str) -> DataFrame:
-    """Rows with link counts and components.
+def component_ids(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """``members`` (class, least, ...) with component, the class that stands for all that are
+    linked, and component_id, the smallest ``least`` among them.
 
-    rows: (id, class); members: (class, copies, links), links counting rows of other
-    classes; stars: (src, dst) edges between classes that join every linked pair.
-    A row whose id is null links with nothing and keeps a null component.
+    stars: (src, dst) edges between classes that join every linked pair.
     """
     found = connected_components(stars, "src", "dst")
-    known = members.join(found, members["class"] == found["node"], "left").select(
-        "class", "copies", "links", F.coalesce("component", "class").alias("component")
-    )
-    out = rows.join(known, "class", "left")
+    linked = members.join(found, members["class"] == found["node"], "left").withColumn("component", F.coalesce("component", "class")).drop("node")
+    several = found.join(members, members["class"] == found["node"]).groupBy("component").agg(F.min("least").alias("component_id"))
+    several = broadcast_if_small(materialize(several, "component-ids"), 24)
+    return linked.join(several, "component", "left").withColumn("component_id", F.coalesce("component_id", "least"))
+
+
+def link_report(rows: DataFrame, members: DataFrame, stars: DataFrame, keys: list[str], id_name: str) -> DataFrame:
+    """Rows with link counts and components.
+
+    rows: (id, keys); members: (keys, class, least, copies, links), links counting rows of
+    other classes, least being the smallest id of the class. A row whose keys are null
+    links with nothing; one whose id is null has a null component.
+    """
+    known = component_ids(members, stars).select(*keys, "links", "copies", "component_id")
+    out = rows.join(known, keys, "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(
         F.col("id").alias(id_name),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "id").cast("long").alias("component_id"),
-        F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(False)).alias("kept"),
+        component.cast("long").alias("component_id"),
+        F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"),
     )

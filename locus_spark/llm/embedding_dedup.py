@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locus_spark.llm.common import forest, link_report, materialize, tiled, whole_groups
-from locus_spark.plans.materialize import broadcast_if_small
+from locus_spark.plans.materialize import broadcast_if_small, scratch
 
 BLOCK = 8  # dimensions of a block
 TILE = 8192  # rows of a chunk of a slab
@@ -77,8 +77,8 @@ def _unpack(rows: list[bytes], n: int) -> np.ndarray:
 
 
 def _places(threshold: float, carry: bool):
-    """(class, label_key, copies, dims, v) to the slabs a vector is compared in: label_key,
-    dims, block, slab, and with ``carry`` also class, copies, home and the packed vector."""
+    """(class, label, copies, dims, v) to the slabs a vector is compared in: label, dims,
+    block, slab, and with ``carry`` also class, copies, home and the packed vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,8 +98,8 @@ def _places(threshold: float, carry: bool):
                         block.append(np.full(len(use), k))
                         home.append(np.full(len(use), at_home))
                 take = pa.array(np.concatenate(rows))
-                columns = [part.column("label_key").take(take), part.column("dims").take(take), pa.array(np.concatenate(block), pa.int32()), pa.array(np.concatenate(slab))]
-                names = ["label_key", "dims", "block", "slab"]
+                columns = [part.column("label").take(take), part.column("dims").take(take), pa.array(np.concatenate(block), pa.int32()), pa.array(np.concatenate(slab))]
+                names = ["label", "dims", "block", "slab"]
                 if carry:
                     columns += [part.column("class").take(take), part.column("copies").take(take), pa.array(np.concatenate(home), pa.int32()), pa.array(_pack(x), pa.binary()).take(take)]
                     names += ["class", "copies", "home", "v"]
@@ -113,7 +113,7 @@ _LINKS = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64
 
 def _join(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cuts in whole_groups(batches, "tile_key", 4 << 20):
+        for table, cuts in whole_groups(batches, ["label", "dims", "block", "slab", "one", "two"], 4 << 20):
             all_ids, all_copies, all_sides, all_home, block, dims = (table.column(c).to_numpy() for c in ("class", "copies", "side", "home", "block", "dims"))
             vectors = table.column("v")
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -178,25 +178,26 @@ def near_vectors(
         "id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND exists(v, x -> x <> 0)"
         " AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
     )
-    sound_rows = rows.filter(sound).withColumn("h", F.xxhash64("v"))
-    # Keys are the label, a hash and the vector itself, so that equal hashes do no harm.
-    classes = sound_rows.groupBy("label", "h", "v").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
-    classes = materialize(classes.withColumn("dims", F.size("v")), "vector-classes")
-
-    carried = classes.select("class", F.xxhash64("label").alias("label_key"), "copies", "dims", "v")
-    places, key = "label_key long, dims int, block int, slab long", F.xxhash64("label_key", "dims", "block", "slab")
-    # The keys of large slabs first, without vectors; then one shuffle brings the vectors to their tiles.
-    counts = carried.mapInArrow(_places(threshold, carry=False), places).groupBy(key.alias("key")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
-    large = materialize(counts.filter("chunks > 1"), "large-slabs")
-    placed = carried.mapInArrow(_places(threshold, carry=True), f"{places}, class long, copies long, home int, v binary").withColumn("key", key)
-    dealt = placed.join(broadcast_if_small(large, 24), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    dealt = tiled(dealt, "key", "chunks", "class").select("tile_key", "side", "class", "copies", "home", "block", "dims", "v")
-    dealt = dealt.repartition("tile_key").sortWithinPartitions("tile_key")
-    found = materialize(dealt.mapInArrow(_join(threshold), "id long, links long, root long"), "vector-links")
-
-    counted = found.groupBy("id").agg(F.sum("links").alias("links"))
-    known = classes.join(counted, classes["class"] == counted["id"], "left").select("class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    keys = ["label", "h", "v"]
-    whole = sound_rows.join(classes.select(*keys, "class"), keys).select("id", "class")
-    rest = rows.filter(~F.coalesce(sound, F.lit(False))).select("id", F.lit(None).cast("long").alias("class"))
-    return link_report(whole.unionAll(rest), known, found.select(F.col("id").alias("src"), F.col("root").alias("dst")), id_column)
+    # Rows find their class by label and 128 bits of hashes, so that vectors are shuffled once.
+    rows = rows.withColumn("label", F.when(sound, F.col("label"))).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(17), "v")})
+    keys = ["label", "h1", "h2"]
+    place = ["label", "dims", "block", "slab"]
+    kind = vectors.schema[label_column].dataType.simpleString()
+    places = f"label {kind}, dims int, block int, slab long"
+    with scratch(vectors.sparkSession) as keep:
+        classes = rows.filter("label IS NOT NULL").groupBy(*keys).agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"))
+        classes = materialize(classes.withColumns({"dims": F.size("v"), "class": F.monotonically_increasing_id()}), "vector-classes")
+        carried = classes.select("class", "label", "copies", "dims", "v")
+        # The keys of large slabs first, without vectors; then one shuffle brings the vectors to their tiles.
+        counts = carried.mapInArrow(_places(threshold, carry=False), places).groupBy(*place).agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
+        large = materialize(counts.filter("chunks > 1"), "large-slabs")
+        placed = carried.mapInArrow(_places(threshold, carry=True), f"{places}, class long, copies long, home int, v binary")
+        dealt = placed.join(broadcast_if_small(large, 64), place, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        tile = [*place, "one", "two"]
+        dealt = tiled(dealt, "chunks", "class").select(*tile, "side", "class", "copies", "home", "v").repartition(*tile).sortWithinPartitions(*tile)
+        found = materialize(dealt.mapInArrow(_join(threshold), "id long, links long, root long"), "vector-links")
+
+        counted = found.groupBy("id").agg(F.sum("links").alias("links"))
+        known = classes.join(counted, classes["class"] == counted["id"], "left").select(*keys, "class", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+        stars = found.select(F.col("id").alias("src"), F.col("root").alias("dst"))
+        return keep(materialize(link_report(rows.select("id", *keys), known, stars, keys, id_column), "linked-vectors"))
