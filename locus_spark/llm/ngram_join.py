@@ -9,11 +9,14 @@ link if the Jaccard similarity of their sets is at least the threshold.
 2. Classes that share a band key are candidates. Within a key the short signatures are
    compared 16 values at a time; a pair goes once the posterior probability that its
    similarity reaches the threshold falls below ``tolerance``. Survivors are reported as
-   a spanning forest, so a key with n classes gives fewer than n edges.
-3. Components of those edges are families. The texts of families with two or more
-   classes are read again, dealt out by family (in tiles, if one is large), compared by
-   MinHash as before with all 240 values, and verified exactly on their shingle sets.
-   A tile returns counts and a forest, never its pairs.
+   a spanning forest, so a key with n classes gives fewer than n edges. A key of more
+   than BUCKET classes is a star: all of them are left to the next step.
+3. Components of those edges are families. Each member is read once more and written as
+   its difference to the family's first text: the shingles it lacks and those it adds.
+   Differences and short signatures are dealt out by family (in tiles, if one is large),
+   pairs that survive the posterior as before are verified exactly: the shingles that two
+   members share follow from what their differences share. A tile returns counts and a
+   forest, never its pairs.
 
 A pair at exactly 0.8 shares no band with probability 5e-6; higher similarities less.
 """
@@ -27,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locus_spark.llm.common import BLOCK_BYTES, blocks, bound_batches, buffers, connected_components, forest, link_report, materialize, mix64, tiled, whole_groups
-from locus_spark.plans.materialize import broadcast_if_small
+from locus_spark.llm.common import BLOCK_BYTES, blocks, bound_batches, buffers, component_ids, connected_components, forest, link_report, materialize, mix64, tiled, whole_groups
+from locus_spark.plans.materialize import broadcast_if_small, scratch
 
 WORDS, BANDS, ROWS = 5, 40, 6
 SHORT = 64  # one-byte MinHash values carried to the buckets
 STEP = 16  # values compared between two looks at the posterior
-TILE, TILE_BYTES = 512, 4 << 20  # documents and bytes of a chunk of a large family
-BUCKET = 4096  # rows of a chunk of a large bucket
+TILE, TILE_BYTES = 8192, 4 << 20  # documents and bytes of a chunk of a large family
+BUCKET = 4096  # classes of a key that are compared in one task
+AGAINST = 512  # members of a family that one task sets against its first text
+STRIP, COLUMNS = 1024, 1024  # members and shingles of a block of the product that counts shared ones
 PART = 1 << 19  # bytes hashed at once
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -182,19 +187,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
-def _pairs(a: np.ndarray, side: np.ndarray, looks: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Surviving pairs of one tile: all of one chunk, or those across two chunks."""
-    if (side == 2).all():
-        return survivors(a, a, looks, upper=True)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    i, j = survivors(a[left], a[right], looks, upper=False)
-    return left[i], right[j]
-
-
 def _bucket_edges(looks: list[tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cuts in whole_groups(batches, "tile_key"):
-            ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+        for table, cuts in whole_groups(batches, ["key"]):
+            ids = table.column("id").to_numpy()
             short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(len(ids), SHORT)
             count = np.diff(cuts)
             first = np.repeat(cuts[:-1], count)
@@ -208,7 +204,7 @@ def _bucket_edges(looks: list[tuple[int, int]]):
             src, dst = [ids[use]], [ids[first[use]]]
             for g in np.flatnonzero(~star).tolist():
                 own = slice(cuts[g], cuts[g + 1])
-                i, j = _pairs(short[own], side[own], looks)
+                i, j = survivors(short[own], short[own], looks, upper=True)
                 root = forest(count[g], i, j)
                 moved = np.flatnonzero(root != np.arange(count[g]))
                 src.append(ids[own][moved])
@@ -218,29 +214,52 @@ def _bucket_edges(looks: list[tuple[int, int]]):
     return run
 
 
-def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Common shingles of the sets a[k] and b[k].
+_DIFFERENCE = pa.schema([(c, pa.int64()) for c in ("component", "class", "copies", "first", "size")] + [("short", pa.binary()), ("lacks", pa.binary()), ("adds", pa.binary())])
+
+
+def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members as differences to the text that leads their group."""
+    lead = np.zeros(0, np.uint64)
+    for batch in batches:
+        for part in blocks(batch):
+            hashes, ends = shingles(*buffers(part.column("text")))
+            out = []
+            rows = zip(*(part.column(c).to_pylist() for c in ("component", "class", "copies", "leads", "short")), ends[:-1].tolist(), ends[1:].tolist())
+            for component, own, copies, leads, short, lo, hi in rows:
+                mine = np.unique(hashes[lo:hi])
+                if leads:
+                    lead = mine
+                    continue
+                at = np.minimum(np.searchsorted(lead, mine), len(lead) - 1)
+                both = lead[at] == mine
+                lacks = np.ones(len(lead), bool)
+                lacks[at[both]] = False
+                out.append((component, own, copies, len(lead), len(mine), short, np.flatnonzero(lacks).astype(np.uint32).tobytes(), mine[~both].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(_DIFFERENCE), _DIFFERENCE)], schema=_DIFFERENCE)
+
+
+def shared(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many values the sets left[i] and right[j] share, for every pair.
 
-    Shingles of one set alone can't be common; the rest become columns of a 0/1 matrix
-    whose blocked product counts exactly. Few pairs are intersected one by one.
+    Few pairs are intersected one by one. For many, values that only one set holds can't
+    be shared; the others become columns of 0/1 matrices whose blocked product counts exactly.
     """
-    used = np.unique(np.concatenate([a, b]))
-    if len(a) < 8 * len(used) or len(used) < 16:
-        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist())], np.int64)
-    row = np.repeat(np.arange(len(used)), [len(sets[x]) for x in used])
-    values, column, df = np.unique(np.concatenate([sets[x] for x in used]), return_inverse=True, return_counts=True)
-    rank = np.cumsum(df > 1) - 1
-    shared = df[column] > 1
-    row, column = row[shared], rank[column[shared]]
-    x, y, total = np.searchsorted(used, a), np.searchsorted(used, b), np.zeros((len(used), len(used)), np.float32)
+    if len(i) < 8 * (len(left) + len(right)):
+        return np.array([len(np.intersect1d(left[x], right[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist())], np.int64)
+    both = [*left, *right]
+    row = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    _, column, held = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    rank, several = np.cumsum(held > 1) - 1, held[column] > 1
+    row, column = row[several], rank[column[several]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    for lo in range(0, int(rank[-1]) + 1 if len(rank) else 0, 4096):
-        s, e = np.searchsorted(column, [lo, lo + 4096])
-        block = np.zeros((len(used), 4096), np.float32)
+    total = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        s, e = np.searchsorted(column, [lo, lo + COLUMNS])
+        block = np.zeros((len(both), COLUMNS), np.float32)
         block[row[s:e], column[s:e] - lo] = 1
-        total += block @ block.T
-    return total[x, y].astype(np.int64)
+        total += block[: len(left)] @ block[len(left) :].T
+    return total[i, j].astype(np.int64)
 
 
 _LINKS = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
@@ -248,29 +267,78 @@ _LINKS = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64
 
 def _verify(looks: list[tuple[int, int]], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cuts in whole_groups(batches, "tile_key", BLOCK_BYTES):
-            all_ids, all_copies, all_sides = (table.column(c).to_numpy() for c in ("id", "copies", "side"))
-            hashes, ends = shingles(*buffers(table.column("text")))
-            signature = minhashes(hashes, ends)
+        for table, cuts in whole_groups(batches, ["component", "one", "two"], BLOCK_BYTES):
+            numbers = {c: table.column(c).to_numpy() for c in ("class", "copies", "side", "first", "size")}
+            signature = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(-1, SHORT)
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                i, j = _pairs(signature[lo:hi], all_sides[lo:hi], looks)
-                if not len(i):
-                    continue
-                ids, copies = all_ids[lo:hi], all_copies[lo:hi]
-                sets = [np.unique(hashes[s:e]) for s, e in zip(ends[lo:hi].tolist(), ends[lo + 1 : hi + 1].tolist())]
-                size = np.array([len(x) for x in sets])
-                both = overlaps(sets, i, j)
-                good = (both > 0) & (both / np.maximum(size[i] + size[j] - both, 1) >= threshold)
-                i, j = i[good], j[good]
-                links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-                root, least = forest(len(ids), i, j), np.full(len(ids), np.iinfo(np.int64).max)
-                np.minimum.at(least, root, ids)  # the smallest id of a tree stands for it
+                ids, copies, side, first, size = (numbers[c][lo:hi] for c in ("class", "copies", "side", "first", "size"))
+                lacks = [np.frombuffer(x, np.uint32).astype(np.uint64) for x in table.column("lacks").slice(lo, hi - lo).to_pylist()]
+                adds = [np.frombuffer(x, np.uint64) for x in table.column("adds").slice(lo, hi - lo).to_pylist()]
+                missing, short = np.array([len(x) for x in lacks]), signature[lo:hi]
+                one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+                links, root = np.zeros(hi - lo, np.int64), np.arange(hi - lo)
+                for s in range(0, len(one), STRIP):
+                    rows = one[s : s + STRIP]
+                    i, j = survivors(short[rows], short[two], looks, upper=False)
+                    # In one chunk each pair shows up twice.
+                    use = (rows[i] < two[j]) | (side[rows[i]] != 2)
+                    i, j = i[use], j[use]
+                    if not len(i):
+                        continue
+                    p, q = rows[i], two[j]
+                    both = first[p] - missing[p] - missing[q]
+                    for sets in (lacks, adds):
+                        both = both + shared([sets[x] for x in rows.tolist()], [sets[x] for x in two.tolist()], i, j)
+                    good = (both > 0) & (both / np.maximum(size[p] + size[q] - both, 1) >= threshold)
+                    p, q = p[good], q[good]
+                    links += np.bincount(p, copies[q], hi - lo).astype(np.int64) + np.bincount(q, copies[p], hi - lo).astype(np.int64)
+                    root = forest(hi - lo, p, q, root)
+                least = np.full(hi - lo, np.iinfo(np.int64).max)
+                np.minimum.at(least, root, ids)  # the smallest class of a tree stands for it
                 hit = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit].astype(np.int64)), pa.array(least[root[hit]])], schema=_LINKS)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit]), pa.array(least[root[hit]])], schema=_LINKS)
 
     return run
 
 
+def _classes(rows: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Classes (digest, class, least, copies, links) of rows (id, text, digest) with words, and the stars between them."""
+    signed = rows.mapInArrow(_sign, "id long, digest string, n_words long, bands array<bigint>, short binary").filter("n_words > 0")
+    classes = signed.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first(F.struct("bands", "short")).alias("s"))
+    # Classes have numbers of their own: ids may repeat.
+    classes = materialize(classes.select("digest", F.monotonically_increasing_id().alias("class"), "least", "copies", "s.bands", "s.short"), "classes")
+
+    keyed = classes.select(F.explode("bands").alias("key"), "class")
+    busy = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("first")).filter("n > 1")
+    members = materialize(keyed.join(busy, "key"), "shared-bands")
+    crowd = members.filter(f"n > {BUCKET}").select(F.col("class").alias("src"), F.col("first").alias("dst"))
+    dealt = members.filter(f"n <= {BUCKET}").join(classes.select("class", "short"), "class").select("key", F.col("class").alias("id"), "short")
+    looks = least_matches(threshold, tolerance, SHORT, 1 / 256)
+    near = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_edges(looks), "src long, dst long")
+    family = connected_components(near.unionAll(crowd)).withColumnRenamed("node", "class")
+    family = materialize(family.join(classes.select("class", "copies", "digest", "short"), "class"), "families")
+
+    texts = rows.select("digest", "text").join(broadcast_if_small(family, 160), "digest").select("component", "class", "copies", "short", "text")
+    texts = materialize(texts.dropDuplicates(["class"]), "family-texts")
+    groups = family.groupBy("component").agg(F.ceil(F.count("*") / AGAINST).cast("int").alias("groups"))
+    own = texts.join(broadcast_if_small(groups, 16), "component").withColumns({"part": F.expr("cast(pmod(xxhash64(class), groups) AS INT)"), "leads": F.lit(False)})
+    lead = texts.filter("component = class").join(broadcast_if_small(groups, 16), "component")
+    lead = lead.withColumns({"part": F.explode(F.expr("sequence(0, groups - 1)")), "leads": F.lit(True)})
+    order = own.unionByName(lead).repartition("component", "part").sortWithinPartitions("component", "part", F.desc("leads"))
+    kinds = "component long, class long, copies long, first long, size long, short binary, lacks binary, adds binary"
+    differences = materialize(order.select("component", "class", "copies", "leads", "short", "text").mapInArrow(_against, kinds), "family-differences")
+
+    weight = F.sum(F.octet_length("lacks") + F.octet_length("adds"))
+    sizes = differences.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(weight / TILE_BYTES), F.lit(1)).cast("int").alias("chunks"))
+    tile = ["component", "one", "two"]
+    dealt = tiled(differences.join(broadcast_if_small(sizes, 16), "component"), "chunks", "class").drop("chunks")
+    found = materialize(dealt.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_verify(looks, threshold), "id long, links long, root long"), "links")
+
+    counted = found.groupBy("id").agg(F.sum("links").alias("links"))
+    known = classes.join(counted, classes["class"] == counted["id"], "left").select("digest", "class", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return known, found.select(F.col("id").alias("src"), F.col("root").alias("dst"))
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.8, tolerance: float = 1e-9
 ) -> DataFrame:
@@ -280,44 +348,42 @@ def near_duplicates(
     linked directly, the smallest id reachable by links (its own included), and whether
     the row carries that id.
 
-    If different texts share an id that is the smallest of each, the one with the
-    smallest digest takes part and the others link with nothing.
-    Null and empty texts and texts of white space alone link with nothing. A row with a
-    null id links with nothing and has a null component. Repeated rows link with each
-    other like any copies, and those with the smallest id are all kept. Texts are whole
-    at any length. Other columns are ignored; an empty table gives an empty result.
+    Links join texts, not ids: rows that share an id but not a text each have links of
+    their own. Null and empty texts and texts of white space alone link with nothing. A
+    row with a null id links with nothing and has a null component. Repeated rows link
+    with each other like any copies, and those with the smallest id are all kept. Texts
+    are whole at any length. Other columns are ignored; an empty table gives an empty result.
     """
     bound_batches(docs)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    rows = rows.withColumn("digest", F.md5("text"))
-    signed = materialize(rows.mapInArrow(_sign, "id long, digest string, n_words long, bands array<bigint>, short binary"), "signed")
-    classes = signed.filter("id IS NOT NULL AND n_words > 0").groupBy("digest").agg(
-        F.min("id").alias("class"), F.count("*").alias("copies"), F.first(F.struct("bands", "short")).alias("s"))
-    classes = materialize(classes.select("digest", "class", "copies", "s.bands", "s.short"), "classes")
-    clash = classes.groupBy("class").agg(F.min("digest").alias("kept_digest"), F.count("*").alias("n")).filter("n > 1")
-    classes = classes.join(clash.select("class", "kept_digest"), "class", "left").filter("kept_digest IS NULL OR kept_digest = digest").drop("kept_digest")
-
-    keyed = classes.select(F.explode("bands").alias("key"), "class").repartition("key")
-    busy = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = keyed.join(busy, "key").withColumn("chunks", F.expr(f"cast(ceil(n / {BUCKET}) AS INT)"))
-    dealt = tiled(members.join(classes.select("class", "short"), "class"), "key", "chunks", "class")
-    dealt = dealt.select("tile_key", "side", F.col("class").alias("id"), "short").repartition("tile_key").sortWithinPartitions("tile_key")
-    looks = least_matches(threshold, tolerance, SHORT, 1 / 256)
-    family = connected_components(dealt.mapInArrow(_bucket_edges(looks), "src long, dst long"))
-    family = materialize(family.withColumnRenamed("node", "class").join(classes.select("class", "copies", "digest"), "class"), "families")
+    rows = rows.withColumn("digest", F.when(F.col("id").isNotNull(), F.md5("text")))
+    with scratch(docs.sparkSession) as keep:
+        known, stars = _classes(rows.filter("digest IS NOT NULL"), threshold, tolerance)
+        return keep(materialize(link_report(rows.select("id", "digest"), known, stars, ["digest"], id_column), "near-duplicates"))
 
-    wanted = broadcast_if_small(family, 100)
-    texts = rows.join(wanted.withColumnRenamed("digest", "d"), F.expr("id = class AND digest = d")).select("component", "class", "copies", "text")
-    texts = materialize(texts.dropDuplicates(["class"]), "family-texts")
-    sizes = texts.groupBy("component").agg(
-        F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.octet_length("text")) / TILE_BYTES), F.lit(1)).cast("int").alias("chunks"))
-    dealt = tiled(texts.join(sizes, "component"), "component", "chunks", "class")
-    dealt = dealt.select("tile_key", "side", F.col("class").alias("id"), "copies", "text").repartition("tile_key").sortWithinPartitions("tile_key")
-    looks = least_matches(threshold, tolerance, BANDS * ROWS, 2.0**-32)
-    found = materialize(dealt.mapInArrow(_verify(looks, threshold), "id long, links long, root long"), "links")
 
-    counted = found.groupBy("id").agg(F.sum("links").alias("links"))
-    known = classes.join(counted, classes["class"] == counted["id"], "left").select("class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    whole = signed.select("id", F.expr("CASE WHEN id IS NOT NULL AND n_words > 0 THEN digest END").alias("digest"))
-    whole = whole.join(classes.select("digest", "class"), "digest", "left").select("id", "class")
-    return link_report(whole, known, found.select(F.col("id").alias("src"), F.col("root").alias("dst")), id_column)
+def drop_near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.8, tolerance: float = 1e-9
+) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest id, then digest of the text.
+
+    Groups are made of texts, so that rows of other texts stay whatever their id. A null
+    id comes after all others. Of rows equal in id and text the smallest in all columns
+    stays. Null texts and those without a word are copies of nothing: all stay. Columns
+    may have any names; an empty table stays empty.
+    """
+    bound_batches(docs)
+    last = F.lit((1 << 63) - 1)
+    whole = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_column).cast("long"), last).alias("id"), F.col(text_column).cast("string").alias("text"))
+    rows = whole.select("id", "text", F.md5("text").alias("digest"))
+    with scratch(docs.sparkSession) as keep:
+        known, stars = _classes(rows, threshold, tolerance)
+        linked = materialize(component_ids(known, stars), "components")
+        first = linked.filter("least = component_id").groupBy("component").agg(F.min("digest").alias("chosen"))
+        several = linked.filter("links > 0 OR copies > 1").join(first, "component")
+        action = several.select("digest", "least", (F.col("digest") == F.col("chosen")).alias("stays"))
+        action = keep(materialize(action, "duplicates"))
+    dealt = whole.withColumn("digest", F.md5("text")).join(broadcast_if_small(action, 60), "digest", "left")
+    single = dealt.filter("stays IS NULL").select("row.*")
+    one = dealt.filter("stays AND id = least").groupBy("digest").agg(F.min("row").alias("row")).select("row.*")
+    return single.unionAll(one)

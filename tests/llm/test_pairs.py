@@ -83,18 +83,42 @@ def test_near_duplicates_odd_rows(spark):
     assert empty.count() == 0 and empty.columns == ["doc_id", "n_links", "component_id", "kept"]
 
 
-def test_large_families_and_buckets_are_tiled(spark, monkeypatch):
-    monkeypatch.setattr(N, "TILE", 8)
-    monkeypatch.setattr(N, "BUCKET", 8)
+def test_links_of_repeated_ids(spark):
+    """Rows that share an id but not a text keep the links of their texts."""
+    words = [" ".join(f"{x}{k}" for k in range(60)) for x in "ac"]
+    a, c = words
+    rows = [(1, a), (2, a + " end"), (1, c), (3, c + " end")]
+    got = sorted((r["doc_id"], r["n_links"], r["component_id"]) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_drop_near_duplicates(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a, 5), (2, a, 5), (2, b, 5), (3, c, 5), (3, d, 5), (9, d + " end", 5), (None, b + " end", 5), (None, None, 5), (7, "", 5), (8, "", 5), (3, c, 4), (3, c, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest int")
+    got = N.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    want = [(1, a, 5), (2, b, 5), (3, c, 4), (3, d, 5), (None, None, 5), (7, "", 5), (8, "", 5)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert N.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [dict(TILE=8, BUCKET=8, STRIP=3, AGAINST=4), dict(TILE=8, BUCKET=100, COLUMNS=7), dict(TILE_BYTES=2000)])
+def test_large_families_and_buckets_are_tiled(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(N, name, value)
     rng = random.Random(3)
     base = [str(rng.random()) for _ in range(300)]
     texts = []
     for k in range(60):
         copy = list(base)
-        copy[rng.randrange(300)] = f"w{k}"
+        for _ in range(1 if k < 40 else 5):
+            copy[rng.randrange(300)] = f"w{rng.randrange(50)}"
         texts.append(" ".join(copy))
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(a, b) for a in range(60) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
     got = N.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {(r["n_links"], r["component_id"]) for r in got} == {(59, 0)}
+    assert 1000 < len(pairs) < 1770 and {r["doc_id"]: (r["n_links"], r["component_id"]) for r in got} == dict(enumerate(links(60, pairs, range(60))))
 
 
 def test_posterior_and_forest():
@@ -208,7 +232,7 @@ def test_pairs_at_a_budget():
     rows = len(vectors)
     counts = np.zeros(rows)
     for block in range(2):
-        tile = {"tile_key": np.arange(rows) // 2, "side": np.full(rows, 2), "class": np.arange(rows), "copies": np.ones(rows, int), "home": np.ones(rows, int)}
+        tile = {"label": np.zeros(rows, int), "slab": np.arange(rows) // 2, "one": np.zeros(rows, int), "two": np.zeros(rows, int), "side": np.full(rows, 2), "class": np.arange(rows), "copies": np.ones(rows, int), "home": np.ones(rows, int)}
         tile |= {"block": np.full(rows, block), "dims": np.full(rows, n)}
         batch = pa.RecordBatch.from_pydict({**{c: pa.array(v) for c, v in tile.items()}, "v": pa.array(E._pack(np.array(vectors)), pa.binary())})
         for out in E._join(threshold)(iter([batch])):
