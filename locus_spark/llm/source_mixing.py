@@ -9,10 +9,11 @@ document is exploded by its count and all copies are shuffled globally by a hash
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Sources whose distributions are sent to all tasks; more of them are joined by a shuffle.
-MAX_BROADCAST_SOURCES = 5000
+from locus_spark.llm.common import materialize
+from locus_spark.plans.materialize import broadcast_if_small
 
 
 def uniform(seed: int, *key: Column) -> Column:
@@ -29,6 +30,7 @@ def mix_sources(
     seed: int = 17,
     id_column: str = "doc_id",
     source_column: str = "source",
+    text_column: str = "text",
 ) -> DataFrame:
     """``docs`` with copy_no (from 1) and shuffle_key, each row repeated by its Poisson count.
 
@@ -37,45 +39,39 @@ def mix_sources(
     ``temperature``. ``size`` is the expected number of documents; by default as many as
     there are. Rows are in the order of shuffle_key.
 
-    A null source is a source of its own, called by null. Counts hang on seed and id
-    alone, so repeated rows are repeated equally; a null id counts as an empty text.
-    Texts play no part. An empty table gives no rows. A column of the input called
-    copy_no or shuffle_key is replaced.
+    A null source is a source of its own, called by null. A row's number hangs on seed and
+    id alone, so rows that share an id are repeated equally; a row without an id draws by
+    its text. Rows of one shuffle_key are ordered by source and text. An empty table gives
+    no rows. A column of the input called copy_no or shuffle_key is replaced; others may
+    have any names.
     """
     docs = docs.drop("copy_no", "shuffle_key")
-    source = F.col(source_column).cast("string")
-    counts = docs.groupBy(source.alias("_s")).agg(F.count("*").alias("_n"))
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit("")) if text_column in docs.columns else F.lit("")
+    key = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit(":"), text))
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_column).cast("string").alias("s"), key.alias("key"), F.xxhash64(text).alias("tie"))
+    counts = rows.groupBy("s").agg(F.count("*").alias("n"))
     if weights is None:
-        weighed = counts.withColumn("_w", F.pow(F.col("_n").cast("double"), F.lit(temperature)))
+        weighed = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temperature)))
     else:
-        given = weights.groupBy(F.col("source").cast("string").alias("_given")).agg(F.sum(F.col("weight").cast("double")).alias("_w"))
-        weighed = counts.join(given, F.expr("_s <=> _given"), "left").select("_s", "_n", F.coalesce("_w", F.lit(0.0)).alias("_w"))
-    total = weighed.agg(F.sum("_w").alias("w"), F.sum("_n").alias("n"), F.count("*").alias("sources")).first()
+        given = weights.groupBy(F.col("source").cast("string").alias("given")).agg(F.sum(F.col("weight").cast("double")).alias("w"))
+        weighed = counts.join(given, F.expr("s <=> given"), "left").select("s", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
+    weighed = materialize(weighed, "source-weights")
+    total = weighed.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()
     wanted = float(size if size is not None else total["n"] or 0)
-    rate = F.col("_w") * F.lit(wanted) / (F.lit(float(total["w"] or 1)) * F.col("_n"))
+    rated = weighed.withColumn("rate", F.col("w") * F.lit(wanted) / (F.lit(float(total["w"] or 1)) * F.col("n"))).filter("rate > 0")
     # The distribution function of a source up to where no number in (0, 1) lies above it.
-    steps = F.expr("sequence(0, cast(ceil(_rate + 12 * sqrt(_rate) + 40) AS INT))")
-    table = weighed.withColumn("_rate", rate).filter("_rate > 0").withColumn(
-        "_cdf",
-        F.aggregate(
-            steps,
-            F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("cdf")),
-            lambda acc, k: F.struct(
-                (acc["log"] + F.when(k > 0, F.log(F.col("_rate")) - F.log(k.cast("double"))).otherwise(0.0)).alias("log"),
-                (acc["sum"] + F.exp(acc["log"] + F.when(k > 0, F.log(F.col("_rate")) - F.log(k.cast("double"))).otherwise(0.0) - F.col("_rate"))).alias("sum"),
-                F.concat(acc["cdf"], F.array(acc["sum"] + F.exp(acc["log"] + F.when(k > 0, F.log(F.col("_rate")) - F.log(k.cast("double"))).otherwise(0.0) - F.col("_rate")))).alias("cdf"),
-            ),
-            lambda acc: acc["cdf"],
-        ),
-    ).select("_s", "_cdf")
-    if (total["sources"] or 0) <= MAX_BROADCAST_SOURCES:
-        table = F.broadcast(table)
-    key = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
-    drawn = docs.withColumn("_u", uniform(seed, key)).join(table, F.expr("_s").eqNullSafe(source))
-    times = F.expr("cast(size(filter(_cdf, c -> c < _u)) AS INT)")
-    out = drawn.withColumn("_times", times).filter("_times > 0").withColumn("copy_no", F.explode(F.expr("sequence(1, _times)")))
-    out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"shuffle-{seed}"), key, F.col("copy_no").cast("string"))))
-    return out.drop("_u", "_s", "_cdf", "_times").orderBy("shuffle_key")
+    steps = rated.withColumn("k", F.explode(F.expr("sequence(0, cast(ceil(rate + 12 * sqrt(rate) + 40) AS INT))")))
+    so_far = W.partitionBy("s").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    log = F.sum(F.when(F.col("k") > 0, F.log("rate") - F.log(F.col("k").cast("double"))).otherwise(0.0)).over(so_far)
+    summed = steps.withColumn("p", F.exp(log - F.col("rate"))).withColumn("c", F.sum("p").over(so_far))
+    table = summed.groupBy(F.col("s").alias("source")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))
+    table = materialize(table, "source-counts")
+    width = table.agg(F.sum(F.size("cdf") * 8 + 64)).first()[0] or 0
+    drawn = rows.join(broadcast_if_small(table, 1, width), F.expr("source <=> s"))
+    drawn = drawn.withColumn("u", uniform(seed, F.col("key")))
+    out = drawn.withColumn("times", F.expr("cast(size(filter(cdf, c -> c < u)) AS INT)")).filter("times > 0").withColumn("copy_no", F.explode(F.expr("sequence(1, times)")))
+    out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"shuffle-{seed}"), "key", F.col("copy_no").cast("string"))))
+    return out.orderBy("shuffle_key", "s", "tie").select("row.*", "copy_no", "shuffle_key")
 
 
 def mix_sql(temperature: float = 0.5, seed: int = 17) -> str:
@@ -86,7 +82,7 @@ r AS (SELECT s, pow(n::DOUBLE, {temperature}) * (SELECT sum(n) FROM n)::DOUBLE /
 k AS (SELECT s, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 40)::BIGINT + 1)) AS k FROM r),
 l AS (SELECT s, k, exp(sum(CASE WHEN k > 0 THEN ln(rate) - ln(k::DOUBLE) ELSE 0 END) OVER (PARTITION BY s ORDER BY k) - rate) AS p FROM k),
 c AS (SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS cdf FROM l),
-u AS (SELECT *, (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM documents),
+u AS (SELECT *, (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, ':' || coalesce(text, ''))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM documents),
 t AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, (SELECT count(*) FROM c WHERE c.s IS NOT DISTINCT FROM u.source AND c.cdf < u.u) AS times FROM u),
 e AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, times + 1))::INTEGER AS copy_no FROM t)
-SELECT *, md5('shuffle-{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || copy_no::VARCHAR) AS shuffle_key FROM e"""
+SELECT *, md5('shuffle-{seed}:' || coalesce(doc_id::VARCHAR, ':' || coalesce(text, '')) || ':' || copy_no::VARCHAR) AS shuffle_key FROM e"""
