@@ -4,7 +4,7 @@ A language gives every piece of a fixed public vocabulary a probability. The pro
 of a word is the sum over all ways to cut it into pieces, each the product of its
 pieces; the forward algorithm adds them up. Piece probabilities are fitted per language
 by expectation-maximisation (expected piece counts over all segmentations) on the word
-counts of a bounded sample of labelled documents, and smoothed by the pooled ones.
+counts of a bounded sample of whole labelled documents, and smoothed by the pooled ones.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ from locus_spark.plans.materialize import broadcast_if_small
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"  # begins a word, as in the vocabulary
-LONGEST = 16  # characters of a piece
-WHOLE = 64  # characters of a word scored in batches; longer ones have a scaled pass of their own
 UNKNOWN = 1e-9  # probability of a character outside the vocabulary, the same in each language
 CACHE = 100_000  # words whose scores a task keeps
+CELLS = 1 << 19  # positions times words times languages of forward sums held at once
+TINY = 1e-150  # sums below this are scaled up by its inverse
+MAX_DOCS = 50_000  # labelled documents in the sample, over all languages
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,7 +42,7 @@ def vocabulary(path: str | None = None) -> list[str]:
         path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i)))
-    return sorted({p for p in pieces if p == p.lower() and len(p) <= LONGEST and WORD.fullmatch(p.removeprefix(START) or "a")})
+    return sorted({p for p in pieces if p == p.lower() and WORD.fullmatch(p.removeprefix(START) or "a")})
 
 
 class Pieces:
@@ -51,7 +52,8 @@ class Pieces:
         self.index = {p: i for i, p in enumerate(pieces)}
         self.probs = np.vstack([probs, np.full((1, probs.shape[1]), UNKNOWN)])  # the last: unknown character
         # Per length: hashes of all beginnings of pieces, and the piece that ends there or -1.
-        begun: list[dict[int, int]] = [{} for _ in range(LONGEST)]
+        self.longest = max(map(len, pieces), default=1)
+        begun: list[dict[int, int]] = [{} for _ in range(self.longest)]
         for p, i in self.index.items():
             h = 0
             for n, c in enumerate(p):
@@ -89,11 +91,16 @@ class Pieces:
         end = start + np.concatenate([np.full(len(o[0]), o[1]) for o in out])
         return word[where], start, end, np.concatenate([o[2] for o in out])
 
-    def forward(self, words: list[str], edges: tuple | None = None) -> np.ndarray:
-        """Forward sums, positions x words x languages, of words of up to WHOLE characters."""
+    def forward(self, words: list[str], edges: tuple | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Forward sums, positions x words x languages, and the logarithms to add to theirs (None: none).
+
+        Where a sum falls below TINY, it and those that later ones are made of are scaled
+        up, so that words of any length keep theirs.
+        """
         word, start, end, piece = edges or self.edges(words)
         alpha = np.zeros((max(map(len, words)) + 1, len(words), self.probs.shape[1]))
         alpha[0] = 1
+        logs, length = None, np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(end, kind="stable")
         word, start, end, piece = word[order], start[order], end[order], piece[order]
         cuts = np.searchsorted(end, np.arange(1, len(alpha) + 1))
@@ -102,39 +109,54 @@ class Pieces:
             step = alpha[start[s], word[s]] * self.probs[piece[s]]
             for lang in range(step.shape[1]):
                 alpha[i, :, lang] = np.bincount(word[s], step[:, lang], len(words))
-        return alpha
-
-    def long_word(self, text: str) -> np.ndarray:
-        """Log probability of one word of any length, rescaled at every position."""
-        get, unknown = self.index.get, self.probs[-1]
-        past, scale = [np.ones(self.probs.shape[1])], np.zeros(self.probs.shape[1])
-        for i in range(1, len(text) + 1):
-            now, single = np.zeros(self.probs.shape[1]), False
-            for back in range(1, min(LONGEST, i) + 1):
-                p = get(text[i - back : i])
-                if p is not None:
-                    now = now + past[-back] * self.probs[p]
-                    single |= back == 1
-            if not single:
-                now = now + past[-1] * unknown
-            past = [x / now for x in past[-LONGEST + 1 :]] + [np.ones_like(now)]
-            scale += np.log(now)
-        return scale
+            logs = self._rescale(alpha, logs, i, i - 1, slice(max(0, i + 1 - self.longest), i + 1), length >= i)
+        return alpha, logs
+
+    def _rescale(self, sums: np.ndarray, logs: np.ndarray | None, i: int, last: int, window: slice, inside: np.ndarray) -> np.ndarray | None:
+        """Scale what later sums are made of if one at ``i`` is low; all of the window has one scale."""
+        low = (sums[i] < TINY) & inside[:, None]
+        if logs is not None:
+            logs[i] = logs[last]
+        if low.any():
+            logs = np.zeros_like(sums) if logs is None else logs
+            sums[window] *= np.where(low, 1 / TINY, 1.0)
+            logs[window] += np.where(low, np.log(TINY), 0.0)
+        return logs
+
+    def backward(self, words: list[str], edges: tuple) -> tuple[np.ndarray, np.ndarray | None]:
+        """Backward sums as ``forward`` gives the others."""
+        word, start, end, piece = edges
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        beta = np.zeros((length.max() + 1, len(words), self.probs.shape[1]))
+        beta[length, np.arange(len(words))] = 1
+        logs = None
+        order = np.argsort(-start, kind="stable")
+        word, start, end, piece = word[order], start[order], end[order], piece[order]
+        for i in range(len(beta) - 2, -1, -1):
+            s = slice(np.searchsorted(-start, -i, "left"), np.searchsorted(-start, -i, "right"))
+            step = beta[end[s], word[s]] * self.probs[piece[s]]
+            for lang in range(step.shape[1]):
+                beta[i, :, lang] += np.bincount(word[s], step[:, lang], len(words))
+            logs = self._rescale(beta, logs, i, i + 1, slice(i, i + self.longest), length > i)
+        return beta, logs
+
+    def batches(self, words: list[str]) -> Iterator[list[str]]:
+        """The words by length, in parts of bounded sums."""
+        ordered, at = sorted(words, key=len), 0
+        while at < len(ordered):
+            n = max(1, CELLS // ((len(ordered[min(at + 3999, len(ordered) - 1)]) + 1) * self.probs.shape[1]))
+            yield ordered[at : at + min(n, 4000)]
+            at += min(n, 4000)
 
     def learn(self, words: list[str]) -> None:
         """Score words that aren't known yet."""
         if len(self.known) > CACHE:
             self.known.clear()
-        short = [w for w in words if len(w) < WHOLE]
-        for at in range(0, len(short), 4000):
-            part = sorted(short[at : at + 4000], key=len)
+        for part in self.batches(words):
             marked = [START + w for w in part]
-            alpha = self.forward(marked)
-            scores = np.log(alpha[[len(w) for w in marked], np.arange(len(part))])
-            self._keep(part, scores)
-        for w in words:
-            if len(w) >= WHOLE:
-                self._keep([w], self.long_word(START + w)[None])
+            alpha, logs = self.forward(marked)
+            ends = [len(w) for w in marked], np.arange(len(part))
+            self._keep(part, np.log(alpha[ends]) + (0 if logs is None else logs[ends]))
 
     def _keep(self, words: list[str], scores: np.ndarray) -> None:
         at = len(self.known)
@@ -164,26 +186,20 @@ def fit(counts: list[Counter], pieces: list[str], rounds: int = 2, pooled: float
     start = np.array([0.01 ** (1 / (1 + len(p))) / len(pieces) for p in pieces])
     model = Pieces(pieces, np.repeat(start[:, None], langs, 1))
     vocab = sorted(set().union(*counts))
-    words = [START + w for w in vocab if len(w) < WHOLE]
-    weight = np.array([[c.get(w[1:], 0) for c in counts] for w in words], float).reshape(len(words), langs)
-    lattice = [(part := words[at : at + 4000], weight[at : at + 4000], model.edges(part)) for at in range(0, len(words), 4000)]
+    lattice = []
+    for part in model.batches(vocab):
+        marked = [START + w for w in part]
+        lattice.append((marked, np.array([[c.get(w, 0) for c in counts] for w in part], float), model.edges(marked)))
     for _ in range(rounds):
         expected = np.zeros((len(pieces) + 1, langs))
-        for part, times, (word, begin, end, piece) in lattice:
-            alpha = model.forward(part, (word, begin, end, piece))
-            lengths = np.array([len(w) for w in part])
-            beta = np.zeros_like(alpha)
-            beta[lengths, np.arange(len(part))] = 1
-            order = np.argsort(-begin, kind="stable")
-            w, b, e, p = word[order], begin[order], end[order], piece[order]
-            cuts = np.searchsorted(-b, -np.arange(len(alpha)), "left")
-            for i in range(len(alpha) - 2, -1, -1):
-                s = slice(cuts[i], np.searchsorted(-b, -i, "right"))
-                step = beta[e[s], w[s]] * model.probs[p[s]]
-                for lang in range(langs):
-                    beta[i, :, lang] += np.bincount(w[s], step[:, lang], len(part))
-            whole = alpha[lengths, np.arange(len(part))]
-            share = alpha[begin, word] * model.probs[piece] * beta[end, word] * (times / whole)[word]
+        for part, times, edges in lattice:
+            word, begin, end, piece = edges
+            (alpha, up), (beta, down) = model.forward(part, edges), model.backward(part, edges)
+            last = [len(w) for w in part], np.arange(len(part))
+            share = alpha[begin, word] * model.probs[piece] * (beta[end, word] * (times / alpha[last])[word])
+            if up is not None or down is not None:
+                up, down = (np.zeros_like(alpha) if x is None else x for x in (up, down))
+                share = share * np.exp(up[begin, word] + down[end, word] - up[last][word])
             for lang in range(langs):
                 expected[:, lang] += np.bincount(piece, share[:, lang], len(pieces) + 1)
         expected = expected[:-1]
@@ -206,18 +222,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(labelled: DataFrame, docs_per_lang: int = 200, words_per_lang: int = 20_000, vocabulary_path: str | None = None) -> tuple[list[str], Pieces | None]:
-    """Fit on rows (id, text, lang): at most ``docs_per_lang`` whole documents of a language,
-    those of the smallest id hashes, and its ``words_per_lang`` most frequent words in them."""
-    ids = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL").select("id", "lang")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = ids.withColumn("r", F.row_number().over(order)).filter(f"r <= {docs_per_lang}").select("id", F.col("lang").alias("l")).distinct()
-    chosen = labelled.join(
-        broadcast_if_small(ids.withColumnRenamed("id", "i"), 40), F.expr("id = i AND lang = l"), "left_semi")
+def train(labelled: DataFrame, docs_per_lang: int = 200, max_docs: int = MAX_DOCS, vocabulary_path: str | None = None) -> tuple[list[str], Pieces | None]:
+    """Fit on rows (id, text, lang): of each language at most ``docs_per_lang`` whole documents,
+    those of the smallest id hashes, and fewer if there are so many languages that they
+    would exceed ``max_docs`` together."""
+    labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
+    langs = labelled.agg(F.count_distinct("lang")).first()[0]
+    if langs > max_docs:
+        raise ValueError(f"more than {max_docs} languages")
+    each = min(docs_per_lang, max_docs // max(1, langs))
+    # A row's rank hangs on its id and text; of repeated rows one is enough.
+    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "digest")
+    ids = labelled.select("id", "lang", F.md5("text").alias("digest")).withColumn("r", F.row_number().over(order)).filter(f"r <= {each}")
+    ids = ids.select(F.col("id").alias("i"), F.col("lang").alias("l"), F.col("digest").alias("d")).distinct()
+    chosen = labelled.join(broadcast_if_small(ids, 100, langs * each), F.expr("id = i AND lang = l AND md5(text) = d")).dropDuplicates(["id", "lang", "d"])
     words = chosen.select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = words.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(f"r <= {words_per_lang}")
     counts: dict[str, Counter] = {}
-    for row in top.select("lang", "word", "n").toLocalIterator():
+    for row in words.toLocalIterator():  # the words of the sample
         counts.setdefault(row["lang"], Counter())[row["word"]] = row["n"]
     langs = sorted(counts)
     return langs, fit([counts[x] for x in langs], vocabulary(vocabulary_path)) if langs else None
@@ -226,14 +247,14 @@ def train(labelled: DataFrame, docs_per_lang: int = 200, words_per_lang: int = 2
 def _predict(langs: list[str], model: Pieces | None, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch):
-                words = [WORD.findall((t or "").lower()) for t in part.column("text").to_pylist()]
+            for part in blocks(batch, "_text"):
+                words = [WORD.findall((t or "").lower()) for t in part.column(part.num_columns - 1).to_pylist()]
                 if model is None:
                     names, score = ["und"] * len(words), np.zeros(len(words))
                 else:
                     logs = model.texts(words)
                     best = logs.argmax(1)
-                    score = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+                    score = np.minimum(1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1), 1.0)
                     names = [langs[b] if w else "und" for b, w in zip(best.tolist(), words)]
                     score = np.where([bool(w) for w in words], score, 0.0)
                 columns = [part.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(score)]
@@ -250,13 +271,14 @@ def identify(
     lang_column: str = "lang",
     keep: tuple[str, ...] = (),
     docs_per_lang: int = 200,
-    words_per_lang: int = 20_000,
+    max_docs: int = MAX_DOCS,
     vocabulary_path: str | None = None,
 ) -> DataFrame:
     """Predict the language of every whole text, trained on the rows where ``train_rows`` holds.
 
     Returns id_column, the columns in ``keep``, lang_pred string and score double (the
-    posterior of the language under equal priors, 0 to 1).
+    posterior of the language under equal priors, 0 to 1). A kept column called lang_pred
+    or score is left out.
 
     Training takes text and non-null language alone; rows with a null id or text aren't
     trained on. A null or empty text, or one without a letter, is ``und`` with score 0;
@@ -267,8 +289,8 @@ def identify(
     bound_batches(docs)
     use = F.lit(True) if train_rows is None else train_rows
     labelled = docs.filter(use).select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
-    langs, model = train(labelled, docs_per_lang, words_per_lang, vocabulary_path)
-    kept = list(dict.fromkeys([id_column, *keep]))
-    wanted = docs.select(*kept, F.col(text_column).cast("string").alias("text")) if text_column not in kept else docs.select(*kept)
+    langs, model = train(labelled, docs_per_lang, max_docs, vocabulary_path)
+    kept = [c for c in dict.fromkeys([id_column, *keep]) if c not in ("lang_pred", "score") or c == id_column]
+    wanted = docs.select(*kept, F.col(text_column).cast("string").alias("_text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields]
     return wanted.mapInArrow(_predict(langs, model, kept), ", ".join([*kinds, "lang_pred string", "score double"]))
