@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locus_spark.functions.kernels import nnls
 from locus_spark.llm.common import blocks, bound_batches, materialize
 
 WINDOW = 2048
@@ -34,6 +35,9 @@ GROUP = 50_000  # pieces that one task ranks
 
 #: Both libraries cut texts of these characters alike; others go to the reference tokenizer.
 _PLAIN = re.compile("[\x00-\x1b\x20-\x7e¡-ſ]*")
+#: The faster library's pattern recurses along a run of one kind; texts with a longer one go to the reference too.
+RUN = 20_000
+_LONG_RUN = re.compile(rf"\s{{{RUN},}}+|\S{{{RUN},}}+")
 _tokenizers: dict[tuple, object] = {}
 
 
@@ -46,18 +50,17 @@ def _file(path: str | None) -> str:
 
 
 def _slow(path: str | None):
-    """The tokenizer of a file, special strings being ordinary text."""
+    """The tokenizer of a file."""
     if ("slow", path) not in _tokenizers:
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(_file(path))
-        made.encode_special_tokens = True
-        _tokenizers["slow", path] = made
+        _tokenizers["slow", path] = Tokenizer.from_file(_file(path))
     return _tokenizers["slow", path]
 
 
 def _fast(path: str | None):
-    """A faster encoder with the vocabulary of a byte-level file."""
+    """A faster encoder with the vocabulary of a byte-level file, and a pattern of the file's added
+    tokens: texts that hold one are left to the tokenizer itself."""
     if ("fast", path) not in _tokenizers:
         import public_tokenizers
         import tiktoken
@@ -68,18 +71,21 @@ def _fast(path: str | None):
         rest = [b for b in range(256) if b not in plain]
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
         with open(_file(path), encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if all(c in byte for c in token) and not token.startswith("<|")}
-        _tokenizers["fast", path] = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            parsed = json.load(f)
+        added = [t["content"] for t in parsed["added_tokens"]]
+        ranks = {bytes(byte[c] for c in token): i for token, i in parsed["model"]["vocab"].items() if token not in added}
+        made = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _tokenizers["fast", path] = made, re.compile("|".join(map(re.escape, added)) or "(?!)")
     return _tokenizers["fast", path]
 
 
 def encode(texts: list[str], path: str | None = None) -> list[np.ndarray]:
-    """Ids of whole texts as the tokenizer file gives them, without special tokens."""
+    """Ids of whole texts as the tokenizer file gives them; it adds none, but finds its own added tokens."""
     out: list = [None] * len(texts)
+    fast, added = _fast(path)
     for k, text in enumerate(texts):
-        if len(text) < 1_000_000 and _PLAIN.fullmatch(text):
-            out[k] = np.array(_fast(path).encode_ordinary(text), np.uint32)
+        if _PLAIN.fullmatch(text) and not added.search(text) and (len(text) <= RUN or not _LONG_RUN.search(text)):
+            out[k] = np.array(fast.encode_ordinary(text), np.uint32)
     for k, ids in enumerate(out):
         if ids is None:
             out[k] = np.array(_slow(path).encode(texts[k], add_special_tokens=False).ids, np.uint32)
@@ -123,47 +129,6 @@ def combinations(units: int, depth: int) -> list[tuple[int, ...]]:
     return out
 
 
-def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The solution of a x = b, or the shortest best one where that is no good."""
-    try:
-        x = np.linalg.solve(a, b)
-        if np.abs(a @ x - b).max() <= 1e-9 * max(1.0, float(np.abs(b).max())):
-            return x
-    except np.linalg.LinAlgError:
-        pass
-    return np.linalg.lstsq(a, b, rcond=None)[0]
-
-
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
-    """Non-negative x that minimises |a x - b|, by the active-set method on normal equations."""
-    gram, right = a.T @ a, a.T @ b
-    x, active = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    slope = right.copy()
-    scale = max(1e-12, float(np.abs(right).max(initial=0))) * 1e-9
-    for _ in range(rounds or 3 * a.shape[1]):
-        free = np.where(active, -np.inf, slope)
-        k = int(free.argmax())
-        if free[k] <= scale:
-            break
-        active[k] = True
-        while True:
-            on = np.flatnonzero(active)
-            z = _solve(gram[np.ix_(on, on)], right[on])
-            if (z > 0).all():
-                x[:] = 0
-                x[on] = z
-                break
-            low = z <= 0
-            step = np.min(x[on][low] / np.maximum(x[on][low] - z[low], 1e-300))
-            x[on] += step * (z - x[on])
-            off = on[low & (x[on] <= 1e-9 * max(1.0, x.max()))]
-            if not len(off):
-                off = on[low][:1]
-            x[off], active[off] = 0, False
-        slope = right - gram @ x
-    return x
-
-
 def plan(histogram: dict[int, int], units: int = UNITS, depth: int = DEPTH) -> list[tuple[Counter, int]]:
     """Patterns (lengths in units and how often each) and their repeat counts, using up the histogram."""
     left = np.zeros(units + 1, np.int64)
