@@ -2,7 +2,7 @@
 
 Three base patterns find assigned values, access key ids and hex runs. Beyond those, a
 candidate counts only if it decodes to what it claims to be: armoured private keys and
-long base64 or hex runs must hold a private key whose nested lengths add up (DER or the
+long base64 or hex runs, also over several lines, must hold a private key whose nested lengths add up (DER or the
 OpenSSH container), a dotted token needs a JSON header that names its algorithm, and a
 prefixed token its checksum.
 """
@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,40 +32,43 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "armour", "jwt", "checked", "b64key", "hexkey")
 
-ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: A line break may also be written as an escape, as in JSON or environment files.
+BREAK = r"(?:\r?\n[ \t]*|\\r\\n|\\n)"
+ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----")
 DOTTED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]*){1,3}")
 CHECKED = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-RUN = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-HEXRUN = re.compile(r"[0-9A-Fa-f]{48,}")
+RUN = re.compile(rf"(?:(?<=\\)[nrt])?([A-Za-z0-9+/_-]{{32,}}(?:{BREAK}[A-Za-z0-9+/_-]{{32,}})*(?:{BREAK}[A-Za-z0-9+/_-]+)?={{0,2}})")
+HEXRUN = re.compile(rf"[0-9A-Fa-f]{{48,}}(?:{BREAK}[0-9A-Fa-f]{{48,}})*(?:{BREAK}[0-9A-Fa-f]+)?")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 OPENSSH = b"openssh-key-v1\0"
 SHORTEST_RUN = 24
 
 
-def der(data: bytes) -> tuple[int, int, int] | None:
-    """(tag, start, end) of the DER value at the head of ``data``."""
-    if len(data) < 2:
+def der(data: bytes, at: int = 0, end: int | None = None) -> tuple[int, int, int] | None:
+    """(tag, start, end) of the DER value at ``at``."""
+    end = len(data) if end is None else end
+    if end - at < 2:
         return None
-    tag, n, at = data[0], data[1], 2
+    tag, n, at = data[at], data[at + 1], at + 2
     if n & 0x80:
         k = n & 0x7F
-        if not 1 <= k <= 4 or len(data) < 2 + k:
+        if not 1 <= k <= 4 or end < at + k:
             return None
-        n, at = int.from_bytes(data[2 : 2 + k], "big"), 2 + k
+        n, at = int.from_bytes(data[at : at + k], "big"), at + k
         if n < 0x80:
             return None
-    return (tag, at, at + n) if at + n <= len(data) else None
+    return (tag, at, at + n) if at + n <= end else None
 
 
 def children(data: bytes) -> list[tuple[int, bytes]] | None:
     """(tag, content) of values that fill ``data`` exactly."""
-    out = []
-    while data:
-        got = der(data)
+    out, at = [], 0
+    while at < len(data):
+        got = der(data, at)
         if got is None:
             return None
         out.append((got[0], data[got[1] : got[2]]))
-        data = data[got[2] :]
+        at = got[2]
     return out
 
 
@@ -106,13 +111,20 @@ def is_private_key(data: bytes) -> bool:
 
 def unbase64(text: str) -> bytes | None:
     """Decoded base64 of either alphabet, padded or not."""
-    text = re.sub(r"\s+", "", text).rstrip("=").translate(str.maketrans("-_", "+/"))
+    text = re.sub(r"\s+|\\[nr]", "", text).rstrip("=").translate(str.maketrans("-_", "+/"))
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
+def unhex(text: str) -> bytes | None:
+    try:
+        return bytes.fromhex(re.sub(r"\s+|\\[nr]", "", text))
+    except ValueError:
+        return None
+
+
 def _holds_key(data: bytes | None) -> bool:
     if not data:
         return False
@@ -137,6 +149,11 @@ def _is_signed_token(text: str) -> bool:
         return False
 
 
+def _signed_length(text: str) -> int:
+    """Characters of the signed token at the head of ``text``: of all its parts, or the first three; else 0."""
+    return next((len(t) for t in (text, ".".join(text.split(".")[:3])) if _is_signed_token(t)), 0)
+
+
 def _has_checksum(text: str) -> bool:
     n, tail = zlib.crc32(text[4:34].encode()), ""
     while n:
@@ -153,16 +170,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _runs(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Spans of runs: all lines together, all but the last, and each line."""
+    for m in pattern.finditer(text):
+        start, end = m.span(pattern.groups)
+        lines, at = [], start
+        for cut in re.finditer(BREAK, text[start:end]):
+            lines.append((at, start + cut.start()))
+            at = start + cut.end()
+        yield start, end
+        if lines:
+            if len(lines) > 1:
+                yield start, lines[-1][1]
+            yield from [*lines, (at, end)]
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of candidates whose structure is confirmed."""
     out = [(m.start(), 3, m.end()) for m in ARMOUR.finditer(text) if _holds_key(unbase64(m[2]))]
-    out += [(m.start(), 4, m.end()) for m in DOTTED.finditer(text) if _is_signed_token(m[0])]
+    out += [(m.start(), 4, m.start() + n) for m in DOTTED.finditer(text) if (n := _signed_length(m[0]))]
     out += [(m.start(), 5, m.end()) for m in CHECKED.finditer(text) if _has_checksum(m[0])]
-    taken = list(out)
-    for kind, pattern, decode in ((6, RUN, unbase64), (7, HEXRUN, lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None)):
-        for m in pattern.finditer(text):
-            if not any(s <= m.start() < e for s, _, e in taken) and _holds_key(decode(m[0])):
-                out.append((m.start(), kind, m.end()))
+    for kind, pattern, decode in ((6, RUN, unbase64), (7, HEXRUN, unhex)):
+        taken = sorted((s, e) for s, _, e in out)
+        starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+        last = 0
+        for s, e in _runs(text, pattern):
+            before = bisect.bisect_right(starts, s)
+            if s >= last and not (before and reach[before - 1] > s) and _holds_key(decode(text[s:e])):
+                out.append((s, kind, e))
+                last = e
     return sorted(out)
 
 
@@ -173,7 +209,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RUN = np.isin(np.arange(256), [*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"])
-_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key", b"akia", b"-----begin")
+_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key", b"akia", b"-----begin", b"eyj")
 
 
 def suspects(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
