@@ -1,11 +1,12 @@
 """Quality classifier by nearest-neighbour voting (operator 7).
 
-A text's terms are hashed trigrams of byte classes (letter kinds, digits, white space and
-every ASCII mark of its own) and the shares of words that repeat the word before. Latent
-semantic vectors are the leading singular directions of the weighted terms of a bounded
+A text's terms are hashed words, hashed trigrams of byte classes (letter kinds, digits,
+white space and every ASCII mark of its own) and the shares of words that repeat the word
+before. Latent semantic vectors are the leading singular directions of the weighted terms of a bounded
 sample of labelled texts. The sample's vectors and labels go to every task; each document
 takes the exact cosine with all of them, in blocks, and its ``neighbours`` nearest vote
-with their label, weighted by similarity.
+with their label, weighted by similarity. Similarities are taken to five decimals; of
+equal ones the text that comes first by id is nearer.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from locus_spark.plans.materialize import broadcast_if_small
 
 TERMS = 1024  # hashed trigrams
 EXTRA = 8  # terms for repeated words
+LEXICON = 1024  # hashed words
+WIDTH = TERMS + EXTRA + LEXICON
 RANK = 32
 MAX_LABELS = 4096  # labelled texts in the sample; their vectors take 0.5 MB
 NEIGHBOURS = 25
@@ -32,12 +35,14 @@ _CLASS[[9, 10, 11, 12, 13]], _CLASS[32] = 1, 2
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[128:] = 3, 4, 5, 6
 _MARKS = [b for b in range(33, 127) if not chr(b).isalnum()]
 _CLASS[_MARKS] = np.arange(7, 7 + len(_MARKS))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def term_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Documents x terms; all bytes of every text count."""
-    docs, width = len(offsets) - 1, TERMS + EXTRA
+    docs, width = len(offsets) - 1, WIDTH
     out = np.zeros(docs * width)
     n = len(raw)
     if n >= 3:
@@ -60,11 +65,13 @@ def term_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))[: n] if first[0] == 0 else None
             if place is None:
                 place = np.arange(n) - np.concatenate([np.zeros(first[0], np.int64), np.repeat(first, np.diff(np.append(first, n)))])
-            value = mix64((raw.astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64))
+            value = mix64((_LOWER[raw].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64))
             value[~solid] = 0
             sums = np.concatenate([[0], np.cumsum(value)]).astype(np.uint64)
             word, home = sums[last] - sums[first], np.searchsorted(offsets, first, "right") - 1
             total = np.bincount(home, minlength=docs)
+            slot = home * LEXICON + (mix64(word) % np.uint64(LEXICON)).astype(np.int64)
+            counts[:, TERMS + EXTRA :] = np.bincount(slot, minlength=docs * LEXICON).reshape(docs, LEXICON)
             for lag in (1, 2):
                 same = (word[lag:] == word[:-lag]) & (home[lag:] == home[:-lag])
                 repeated = np.bincount(home[lag:][same], minlength=docs)
@@ -106,8 +113,10 @@ class Voters:
         k = min(neighbours, len(self.labels))
         for at in range(0, len(z), 512):
             near = z[at : at + 512] @ self.vectors.T
-            best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(near, best, 1), 0).astype(float) ** SHARPNESS
+            close = np.rint(near.astype(float) * 1e5)
+            order = np.arange(len(self.labels)) - close * len(self.labels)  # by similarity, then id
+            best = np.argpartition(order, k - 1, axis=1)[:, :k]
+            weight = np.maximum(np.take_along_axis(close, best, 1) / 1e5, 0) ** SHARPNESS
             total = weight.sum(1)
             got = (weight * self.labels[best]).sum(1) / np.maximum(total, 1e-300)
             out[at : at + 512] = np.where(total > 0, np.minimum(got, 1.0), self.prior)
@@ -130,7 +139,7 @@ def _vote(voters: Voters | None, keep: list[str], neighbours: int):
             for part in blocks(batch, "_text", 2 << 20):
                 score = np.concatenate([
                     np.full(n.num_rows, 0.5) if voters is None else voters.score(term_counts(*buffers(n.column("_text"))), neighbours)
-                    for n in (part.slice(at, 2000) for at in range(0, part.num_rows, 2000))
+                    for n in (part.slice(at, 500) for at in range(0, part.num_rows, 500))
                 ])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
 
@@ -142,13 +151,15 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str,
     rows = labels.filter(f"`{id_column}` IS NOT NULL AND `{label_column}` IN (0, 1)").groupBy(F.col(id_column).alias("i")).agg(F.min(label_column).cast("int").alias("label"))
     chosen = rows.orderBy(F.xxhash64("i"), "i").limit(max_labels)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).filter("text IS NOT NULL")
-    found = texts.join(broadcast_if_small(chosen, 16), F.expr("id = i")).select("id", "label", "text")
+    # One text of an id: of several the one with the smallest digest.
+    found = texts.join(broadcast_if_small(chosen, 16, max_labels), F.expr("id = i"))
+    found = found.groupBy("id").agg(F.min("label").alias("label"), F.min(F.struct(F.md5("text").alias("d"), "text"))["text"].alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     got = found.mapInArrow(_features, f"id {kind}, label int, counts binary").toPandas()
     if not len(got):
         return None
-    got = got.sort_values(["id", "counts"]).drop_duplicates("id")
-    counts = np.frombuffer(b"".join(got["counts"]), np.float32).reshape(len(got), TERMS + EXTRA).astype(float)
+    got = got.sort_values("id")
+    counts = np.frombuffer(b"".join(got["counts"]), np.float32).reshape(len(got), WIDTH).astype(float)
     return Voters(counts, got["label"].to_numpy())
 
 
@@ -166,7 +177,8 @@ def score_quality(
 
     Returns id_column, score (0 to 1, the weighted share of label 1), predicted int (1 if
     the score reaches ``threshold``). Labels other than 0 and 1 and null ids are not
-    learned from; of several labels of an id the smallest counts.
+    learned from; of several labels of an id the smallest counts, of several texts the one
+    with the smallest digest.
 
     A null text is empty; an empty text, or one unlike all labelled ones, has the share
     of label 1 in the sample. Without any labelled text every score is 0.5. Repeated rows
