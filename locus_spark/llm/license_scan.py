@@ -45,10 +45,10 @@ TEMPLATES = (
 def _words(text: str) -> Column:
     """The text's words, lower-cased, with one space around each; a space alone if there are none.
 
-    lower() also changes letters beyond ASCII, but no word's bounds, and of the letters
-    it turns into ASCII (k, i with a dot) none makes a base phrase.
+    lower() also changes letters beyond ASCII, but no word's bounds. It would turn one of
+    them, the sign for kelvin, into an ASCII letter, so that is put out of its reach.
     """
-    lowered = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    lowered = F.lower(F.replace(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\ue000")))
     return F.regexp_replace(F.concat(F.lit(" "), lowered, F.lit(" ")), NO_WORD, " ")
 
 
@@ -65,7 +65,6 @@ def scan_licenses(
     text_column: str = "text",
     templates: tuple[tuple[str, str, str], ...] = TEMPLATES,
     lookups: int = 12,
-    rare_share: float = 0.1,
     least_share: float = 0.6,
 ) -> DataFrame:
     """Licence labels of every whole text, one row per row.
@@ -74,8 +73,7 @@ def scan_licenses(
     (string, distinct, sorted, joined by commas), score (double, 0 to 1: the largest
     share of a template found in place). The index holds each template's
     ``lookups`` rarest words, however many documents hold them, so that no label depends on
-    its share of the corpus; a file votes with all of its indexed words. ``rare_share``
-    was an absolute cut-off; it has no effect and is kept for callers.
+    its share of the corpus; a file votes with all of its indexed words.
 
     A null text is empty: no words, null places, empty labels, score 0. Repeated rows and
     null ids are reported like any row; other columns are ignored; an empty table gives

@@ -1,13 +1,16 @@
 """Language, packing, secrets, quality, URLs, licences, mixing and the pipeline."""
 
 import base64
+import functools
 import hashlib
 import json
 import math
 import re
 import struct
+import time
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -48,16 +51,23 @@ def test_mixing_matches_sql(spark):
 
 def test_mixing_weights_and_odd_rows(spark):
     rows = [(k, "t", "en", s, 1) for k, s in enumerate(["a"] * 3000 + ["b"] * 300 + [None] * 100)] + [(None, None, None, "b", None)]
-    df = spark.createDataFrame(rows, DOCS).withColumn("copy_no", F.lit("clash")).withColumn("_u", F.lit(1)).drop("_u")
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("copy_no", "_u", "_s", "s", "n", "key", "tie", "row", "cdf", "times", "u")})
     weights = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("gone", 5.0)], "source string, weight double")
-    got = Counter(r["source"] for r in M.mix_sources(df, weights, size=4000).select("source").collect())
-    share = 4000 / 7  # the source without documents takes no part in the total
-    assert set(got) == {"a", "b"} and abs(got["a"] - 2000) < 200 and abs(got["b"] - 2000) < 200, (got, share)
+    mixed = M.mix_sources(df, weights, size=4000)
+    assert sorted(mixed.columns) == sorted([*df.columns, "shuffle_key"]) and mixed.first()["_s"] == "clash"
+    got = Counter(r["source"] for r in mixed.select("source").collect())
+    assert set(got) == {"a", "b"} and abs(got["a"] - 2000) < 200 and abs(got["b"] - 2000) < 200, got
     assert M.mix_sources(df.limit(0)).count() == 0
     even = M.mix_sources(df, temperature=1.0)
     assert None in {r["source"] for r in even.select("source").distinct().collect()}
 
 
+def test_mixing_null_ids_draw_by_text(spark):
+    df = spark.createDataFrame([(None, f"text {k}", "en", "a", 1) for k in range(2000)], DOCS)
+    times = Counter(Counter(r["text"] for r in M.mix_sources(df).collect()).values())
+    assert abs(times[1] - 2000 * math.exp(-1)) < 150 and abs(times[2] - 1000 * math.exp(-1)) < 120
+
+
 def test_poisson_counts():
     """The inverted distribution at evenly spread numbers has the Poisson shares."""
     rate = 1.7
@@ -90,7 +100,40 @@ def test_forward_sums_all_segmentations():
     model.learn(words)
     for w in words:
         assert np.allclose(np.exp(model.table[model.known[w]]), every(L.START + w))
-        assert np.allclose(np.exp(model.long_word(L.START + w)), every(L.START + w))
+
+
+def test_forward_of_long_words():
+    """Sums far below the range of doubles, against exact fractions."""
+    pieces = ["▁", "a", "ab", "b", "abababababababababab"]
+    model = L.Pieces(pieces, np.array([[1e-3, 2e-3], [1e-5, 1e-3], [1e-6, 1e-5], [1e-4, 1e-7], [1e-9, 1e-30]]))
+
+    def exact(word, lang):
+        sums = [Fraction(1)]
+        for i in range(1, len(word) + 1):
+            ends = [p for p in pieces if word[:i].endswith(p)]
+            sums.append(sum((sums[i - len(p)] * Fraction(model.probs[model.index[p], lang]) for p in ends), Fraction(0)))
+            if not any(len(p) == 1 for p in ends):
+                sums[-1] += sums[i - 1] * Fraction(L.UNKNOWN)
+        n = sums[-1]
+        return math.log(n.numerator) - math.log(n.denominator)
+
+    words = ["ж" * 60, "ab" * 300, "a" * 64, "b" * 500 + "ж" * 70, "a", "aж" * 31, "b" * 62]
+    model.learn(words)
+    for w in words:
+        assert np.allclose(model.table[model.known[w]], [exact(L.START + w, k) for k in (0, 1)], rtol=1e-9)
+    # The expected piece counts of EM add up to the characters, whatever the length.
+    learned = L.fit([Counter({"ab" * 200: 3, "b": 2}), Counter({"a" * 100: 1})], pieces)
+    assert np.allclose(learned.probs[:-1].sum(0), 1) and learned.probs[1, 1] > learned.probs[1, 0]
+
+
+def test_language_of_unknown_characters(spark):
+    rows = [(k, t, x, "s", 1) for k, (t, x) in enumerate([("the house and the tree", "en"), ("das haus und der baum", "de")] * 5)]
+    df = spark.createDataFrame([*rows, (50, "ж" * 60, None, "s", 1), (51, "ꙮ" * 700 + " der baum", None, "s", 1)], DOCS).withColumns({"score": F.lit("x"), "lang_pred": F.lit(1), "_text": F.lit(2)})
+    got = L.identify(df, keep=("source", "score", "lang_pred"))
+    assert got.columns == ["doc_id", "source", "lang_pred", "score"]
+    found = {r["doc_id"]: r for r in got.collect()}
+    assert all(0 <= r["score"] <= 1 for r in found.values()) and found[51]["lang_pred"] == "de"
+    assert L.vocabulary() and max(map(len, L.vocabulary())) == L.Pieces(L.vocabulary(), np.zeros((len(L.vocabulary()), 1))).longest
 
 
 def test_language_held_out_accuracy(spark):
@@ -112,22 +155,37 @@ def test_language_odd_rows(spark):
 # Packing
 
 
+@functools.cache
+def plain_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text())
 def test_fast_encoder_equals_the_tokenizer(text):
-    slow = P._slow(None)
+    slow = plain_tokenizer()
     assert P.encode([text])[0].tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.characters(max_codepoint=0x17F)))
 def test_fast_encoder_equals_the_tokenizer_on_latin(text):
-    slow = P._slow(None)
+    slow = plain_tokenizer()
     assert P.encode([text])[0].tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_on_added_tokens_and_very_long_texts():
+    slow = plain_tokenizer()
+    assert P.encode(["hello <|endoftext|> world"])[0].tolist() == [31373, 220, 50256, 995]
+    for text in ("<|endoftext|>", "<|endoftext|", "a" * 1_100_000, "Some words, été 12 \n\n " * 50_000, "x <|endoftext|> y " * 80_000, " " * 1_200_000, "a" * 19_999, "7" * 20_000, " " * 19_999, "ab " * 400_000, "-" * 19_000 + " x " * 400_000):
+        assert np.array_equal(P.encode([text])[0], slow.encode(text, add_special_tokens=False).ids)
+
+
 def check_pack(texts, rows, window=2048, end=1):
-    slow = P._slow(None)
+    slow = plain_tokenizer()
     want = Counter()
     for doc, text in texts:
         ids = [*slow.encode(text or "", add_special_tokens=False).ids, end]
@@ -204,6 +262,38 @@ def test_confirmed_secrets():
     assert [X.KINDS[k] for _, k, _ in X.confirmed_spans(f"bearer {good}.")] in (["jwt"], [])
     assert [X.KINDS[k] for _, k, _ in X.confirmed_spans(f"bearer {good} x")] == ["jwt"]
     assert not X.confirmed_spans(f"{part({'typ': 'JWT'})}.{part({'sub': '1'})}.c2ln")
+    assert X.confirmed_spans(f"bearer {good}.") == [(7, 4, 7 + len(good))] and X.confirmed_spans(f"{good}. Then") == [(0, 4, len(good))]
+    b64 = base64.b64encode(rsa).decode()
+    lines = [b64[k : k + 64] for k in range(0, len(b64), 64)]
+    for ends in ("\n", "\r\n", "\\n", "\n    "):
+        whole = ends.join(lines)
+        assert X.confirmed_spans(f'"key": "-----BEGIN RSA PRIVATE KEY-----\\n{whole}\\n-----END RSA PRIVATE KEY-----\\n"')[0][1] == 3
+        assert X.confirmed_spans(f"x: {whole}") == [(3, 6, 3 + len(whole))]
+        assert X.confirmed_spans(f"x \\n{whole}{ends}word") == [(4, 6, 4 + len(whole))]
+        assert X.confirmed_spans(f"x {whole.replace('A', 'B')}") == []
+    digits = rsa.hex()
+    assert [X.KINDS[k] for _, k, _ in X.confirmed_spans("\n".join(digits[k : k + 60] for k in range(0, len(digits), 60)))] == ["hexkey"]
+
+
+def test_long_crafted_runs_are_quick():
+    began = time.time()
+    X.confirmed_spans(base64.b64encode(b"\x30\x84\x00\x0f\x00\x00" + b"\x02\x00" * 500_000).decode())
+    X.confirmed_spans("eyJhbGciOiJub25lIn0.eyJhIjoxfQ. " * 20_000 + ("f" * 50 + " ") * 20_000)
+    assert time.time() - began < 20
+
+
+def test_hidden_tokens_are_reported(spark):
+    """Confirmed spans don't hang on other words of the text."""
+    rows = [(1, "eyJhbGciOiJub25lIn0.eyJhIjoxfQ."), (2, "x eyJhbGciOiJub25lIn0.eyJhIjoxfQ. secret")]
+    got = {r["doc_id"]: r["spans"] for r in X.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "jwt:0:31", 2: "jwt:2:33"}
+
+
+def test_suspects_hide_nothing(spark):
+    """Every document of a table: spans with and without the quick look."""
+    df = documents(spark)
+    got = {r["doc_id"]: r["spans"] for r in X.find_secrets(df).collect()}
+    assert got == {r["doc_id"]: X.joined(sorted(X.base_spans(r["text"] or "") + X.confirmed_spans(r["text"] or ""))) for r in df.collect()}
 
 
 def test_secret_report(spark):
@@ -238,9 +328,9 @@ def test_quality_held_out(spark):
 
 def test_quality_neighbours_by_brute_force():
     rng = np.random.default_rng(1)
-    counts = rng.poisson(0.5, (80, Q.TERMS + Q.EXTRA)).astype(float)
+    counts = rng.poisson(0.5, (80, Q.WIDTH)).astype(float)
     voters = Q.Voters(counts, rng.integers(0, 2, 80), rank=8)
-    fresh = rng.poisson(0.5, (30, Q.TERMS + Q.EXTRA)).astype(float)
+    fresh = rng.poisson(0.5, (30, Q.WIDTH)).astype(float)
     got = voters.score(fresh, 7)
     for z, score in zip(voters.project(fresh), got):
         near = sorted(((float(z @ v), y) for v, y in zip(voters.vectors, voters.labels)), key=lambda x: -x[0])[:7]
@@ -248,6 +338,17 @@ def test_quality_neighbours_by_brute_force():
         assert score == pytest.approx(sum(w * y for w, (_, y) in zip(weight, near)) / sum(weight), abs=1e-4)
 
 
+def test_quality_of_words_and_ties(spark):
+    """The topic of a text alone decides, and of equal neighbours the first by id are taken."""
+    rows = [(k, f"{'sea ship sail' if k % 2 else 'oven bread flour'} number {'abcdefgh'[k % 8]}") for k in range(40)]
+    df = spark.createDataFrame([*rows, (100, "the ship on the sea"), (101, "flour and bread"), (5, "zz zz")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in Q.score_quality(df, labels, neighbours=9).collect()}
+    assert got[100] > 0.5 > got[101]
+    voters = Q.Voters(Q.term_counts(*buffers(pa.array(["one two"] * 6 + ["red blue"] * 6))), np.array([1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0]), rank=4)
+    assert voters.score(Q.term_counts(*buffers(pa.array(["one two"]))), 2)[0] == 0.5
+
+
 def test_quality_terms_and_odd_rows(spark):
     counts = Q.term_counts(*buffers(pa.array(["ab", None, "", "aaaa", "ha ha ha ha", "é"])))
     assert counts[:, : Q.TERMS].sum(1).tolist() == [0, 0, 0, 2, 9, 0] and counts[4, Q.TERMS] == 4 and counts[3, Q.TERMS] == 0
@@ -309,7 +410,7 @@ def test_licences(spark):
         "reserved rights all", "\u212a cc by", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     ]
     df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(None, "cc by", 1)], "doc_id long, text string, n_words int")
-    got = {r["doc_id"]: r for r in LS.scan_licenses(df, rare_share=1.0).collect()}
+    got = {r["doc_id"]: r for r in LS.scan_licenses(df).collect()}
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     for k, text in enumerate(texts):
         words = word.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
@@ -328,11 +429,42 @@ def test_licences(spark):
     assert got[None]["n_base"] == 1 and LS.scan_licenses(df.limit(0)).count() == 0
 
 
+def positional_vote(words, weight, least=0.6):
+    """Labels and best share by brute force: every template at every offset."""
+    labels, best, text = set(), 0.0, f" {' '.join(words)} "
+    for label, key, template in LS.TEMPLATES:
+        parts = template.split()
+        rare = sorted(set(parts), key=lambda w: (-weight[w], w))[:12]
+        whole = sum(weight[w] for w in parts if w in rare)
+        at = Counter()
+        for i, word in enumerate(words):
+            for p, w in enumerate(parts):
+                if w == word and w in rare:
+                    at[i - p] += weight[w]
+        share = max(at.values(), default=0) / whole
+        best = max(best, min(share, 1))
+        labels |= {label} if share >= least - 1e-9 and f" {key} " in text else set()
+    return labels, best
+
+
+def test_licences_of_a_table_by_brute_force(spark):
+    extra = [" ".join(t.split()[: n + 3] + ["of"] * n + t.split()[n:]) for n, (_, _, t) in enumerate(LS.TEMPLATES)]
+    df = documents(spark).select("doc_id", "text").unionAll(spark.createDataFrame([(50_000 + k, t) for k, t in enumerate(extra)], "doc_id long, text string"))
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    rows = {r["doc_id"]: word.findall((r["text"] or "").translate({c: c + 32 for c in range(65, 91)})) for r in df.collect()}
+    held = Counter(w for words in rows.values() for w in set(words))
+    weight = {w: math.log((len(rows) + 1) / (held[w] + 1)) + 1 for _, _, t in LS.TEMPLATES for w in t.split()}
+    base = {label for _, label in LS.BASE}
+    for r in LS.scan_licenses(df).collect():
+        labels, best = positional_vote(rows[r["doc_id"]], weight)
+        assert set(filter(None, r["labels"].split(","))) - base == labels and r["score"] == pytest.approx(best), r["doc_id"]
+
+
 def test_several_licences(spark):
     text = {label: words for label, _, words in LS.TEMPLATES}
     files = [("mit-text", "apache-notice"), ("mit-text", "warranty-text"), ("mit-text", "bsd-text", "isc-text", "apache-notice", "gpl-notice"), tuple(text), tuple(reversed(text))]
     rows = [(k, " unrelated lines ".join(text[t] for t in file)) for k, file in enumerate(files)] + [(9, "of the license under and to this version")]
-    got = {r["doc_id"]: r for r in LS.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), rare_share=1.0).collect()}
+    got = {r["doc_id"]: r for r in LS.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for k, file in enumerate(files):
         assert set(file) <= set(got[k]["labels"].split(",")) and got[k]["score"] > 1 - 1e-9
     assert got[9]["labels"] == "" and 0 < got[9]["score"] < 0.6
