@@ -27,7 +27,7 @@ from locus_spark.llm import quality_vote as Q
 from locus_spark.llm import secret_scan as X
 from locus_spark.llm import source_mixing as M
 from locus_spark.llm import url_filter as U
-from locus_spark.llm.common import buffers, crc_mod
+from locus_spark.llm.common import buffers, crc_mod, mix64
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -385,19 +385,56 @@ def test_urls(spark):
         U.judge_urls(df, rules=(("block", "a", "/"),) * (U.MAX_RULES + 1))
 
 
-def test_url_regression():
+def brute_url(url):
+    """(host, path, rule, the rule's action) by plain string operations."""
+    head, mark, rest = (url or "").partition("://")
+    rest = rest.split("#")[0].split("?")[0]
+    host, slash, path = rest.partition("/")
+    host, path = "".join(c.lower() if "A" <= c <= "Z" else c for c in host), slash + path
+    fits = [(len(h + p), -k, h + p, a) for k, (a, h, p) in enumerate(U.RULES) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits)[2:] if fits else (None, None))
+
+
+def test_urls_of_a_table_by_brute_force(spark):
+    odd = ["a://B.C//x", "a://b?c://d/en/", "x://Example.com", "x:// /en/", "://net/de/8", "x://a\n.org/es/\n", "x://com/en/" + "9" * 50_000, "x://" + "a." * 20_000 + "com/en/"]
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").unionAll(spark.createDataFrame([(10_000 + k, u) for k, u in enumerate(odd)], "page_id long, url string"))
+    urls = {r["page_id"]: r["url"] for r in df.collect()}
+    weights, bias = U.train(spark, U.labelled_urls())
+    for r in U.judge_urls(df).collect():
+        host, path, rule, action = brute_url(urls[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        found = set()
+        for mark, text in enumerate((f"^{host}$", re.sub("[0-9]+", "0", path))):
+            raw = text.encode()
+            for n in U.GRAMS:
+                for k in range(len(raw) - n + 1):
+                    h = mark + 1
+                    for c in raw[k : k + n]:
+                        h = int(mix64(np.array([(h * 257 + c) % 2**64], np.uint64))[0])
+                    found.add(h % U.FEATURES)
+            if len(raw) > 1000:
+                break
+        if len(host + path) < 1000:
+            p = 1 / (1 + math.exp(-(sum(weights[f] for f in found) / math.sqrt(max(1, len(found))) + bias)))
+            assert r["p_block"] == pytest.approx(p) and r["verdict"] == (action or ("block" if p >= 0.5 else "allow"))
+
+
+def test_url_regression(spark):
+    """Held out: each fifth of the labelled table by the others."""
     table = U.labelled_urls()
-    assert len(table) < 200
-    weights, bias = U.fit(table)
-
-    def p(url):
-        on, value = U._row(*U.split_url(url))
-        return 1 / (1 + np.exp(-(weights[on].sum() * value + bias)))
-
-    assert sum((p(u) >= 0.5) == bool(y) for u, y in table) >= 0.98 * len(table)
-    # even rows train, odd rows test
-    weights, bias = U.fit(table[::2])
-    assert sum((p(u) >= 0.5) == bool(y) for u, y in table[1::2]) >= 0.8 * len(table[1::2])
+    assert 50 < len(table) < 200 and len({u for u, _ in table}) == len(table)
+    right = 0
+    for fold in range(5):
+        model = U.train(spark, [row for k, row in enumerate(table) if k % 5 != fold])
+        rest = [row for k, row in enumerate(table) if k % 5 == fold]
+        df = spark.createDataFrame(rest, "url string, label int").select(*(c.alias(n) for c, n in zip(U.shown(U.host_of(F.col("url")), U.path_of(F.col("url"))), "hp")), "label").toArrow()
+        p = U.probabilities(df.column("h").combine_chunks(), df.column("p").combine_chunks(), *model)
+        right += ((p >= 0.5) == (df.column("label").to_numpy() == 1)).sum()
+    assert right >= 0.85 * len(table), right / len(table)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = U.judge_urls(pages, rules=()).collect()
+    bad = ("casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x")
+    assert all((r["verdict"] == "block") == any(b in r["host"] for b in bad) for r in got)
 
 
 # Licences
