@@ -244,11 +244,11 @@ def train(labelled: DataFrame, docs_per_lang: int = 200, max_docs: int = MAX_DOC
     return langs, fit([counts[x] for x in langs], vocabulary(vocabulary_path)) if langs else None
 
 
-def _predict(langs: list[str], model: Pieces | None, keep: list[str]):
+def _predict(langs: list[str], model: Pieces | None, keep: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "_text"):
-                words = [WORD.findall((t or "").lower()) for t in part.column(part.num_columns - 1).to_pylist()]
+            for part in blocks(batch, text):
+                words = [WORD.findall((t or "").lower()) for t in part.column(text).to_pylist()]
                 if model is None:
                     names, score = ["und"] * len(words), np.zeros(len(words))
                 else:
@@ -277,8 +277,8 @@ def identify(
     """Predict the language of every whole text, trained on the rows where ``train_rows`` holds.
 
     Returns id_column, the columns in ``keep``, lang_pred string and score double (the
-    posterior of the language under equal priors, 0 to 1). A kept column called lang_pred
-    or score is left out.
+    posterior of the language under equal priors, 0 to 1). A kept column called
+    lang_pred, score or _text is left out unless it is the id or the text.
 
     Training takes text and non-null language alone; rows with a null id or text aren't
     trained on. A null or empty text, or one without a letter, is ``und`` with score 0;
@@ -290,7 +290,8 @@ def identify(
     use = F.lit(True) if train_rows is None else train_rows
     labelled = docs.filter(use).select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
     langs, model = train(labelled, docs_per_lang, max_docs, vocabulary_path)
-    kept = [c for c in dict.fromkeys([id_column, *keep]) if c not in ("lang_pred", "score") or c == id_column]
-    wanted = docs.select(*kept, F.col(text_column).cast("string").alias("_text"))
+    kept = [c for c in dict.fromkeys([id_column, *keep]) if c not in ("lang_pred", "score", "_text") or c in (id_column, text_column)]
+    text = text_column if text_column in kept and docs.schema[text_column].dataType.simpleString() == "string" else "_text"
+    wanted = docs.select(*kept) if text == text_column else docs.select(*kept, F.col(text_column).cast("string").alias("_text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields]
-    return wanted.mapInArrow(_predict(langs, model, kept), ", ".join([*kinds, "lang_pred string", "score double"]))
+    return wanted.mapInArrow(_predict(langs, model, kept, text), ", ".join([*kinds, "lang_pred string", "score double"]))

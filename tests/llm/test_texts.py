@@ -519,7 +519,7 @@ def test_frequent_licence(spark):
 # Pipeline
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 
     base = documents(spark)
@@ -541,10 +541,47 @@ def test_pipeline(spark):
             assert all(any(alike(d, k) for k in before if k != d) for d in before - set(left))
         if name == "secrets":
             assert set(after) == before and out.filter("text LIKE '%0123456789abcdef01234567%'").count() == 0 and out.filter("n_chars <> length(text)").count() == 0
+        if name == "mixing":
+            count = Counter(r["source"] for r in docs.collect())
+            rate = {x: math.sqrt(n) * sum(count.values()) / (sum(map(math.sqrt, count.values())) * n) for x, n in count.items()}
+            want = Counter()
+            for r in docs.collect():
+                u = (int(hashlib.md5(f"17:{r['doc_id']}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+                p = below = math.exp(-rate[r["source"]])
+                while below < u:
+                    want[tuple(r)] += 1
+                    p *= rate[r["source"]] / want[tuple(r)]
+                    below += p
+            assert Counter(map(tuple, out.collect())) == want
         if name == "packing":
             check_pack([(r["doc_id"], r["text"]) for r in docs.collect()], out.collect())
-        out.write.mode("overwrite").parquet(f"/tmp/checkpoints/pipeline-test-{name}")
-        docs = spark.read.parquet(f"/tmp/checkpoints/pipeline-test-{name}")
+        out.write.mode("overwrite").parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as C
+
+    text = "the people of the house and the work of the years " * 6
+    rows = [(1, text, "en", "a", 1), (1, text + "more", "en", "a", 1), (2, text, None, None, 1), (2, "other words of this one here", "en", "b", 1), (None, None, None, None, None), (None, "token: abcdefgh and the rest of it", "en", "a", 2)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("score", "lang_pred", "row", "digest", "copy_no", "shuffle_key", "_text", "id")})
+    for name, stage in C.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == [c for c in docs.columns] or name == "mixing", name
+        assert got.count() >= 0 and stage(spark, docs.limit(0), SF).count() == 0
+    kept = C.one_of_each(spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(1, min((text, text + "more"), key=lambda t: hashlib.md5(t.encode()).hexdigest())), (2, rows[3][1]), (0, ""), (0, rows[5][1])])
+    assert C.packed(spark, docs, SF).count() == 6 and C.packed(spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_leaves_one_table(spark):
+    import corpus_pipeline as C
+    from locus_spark.plans import materialize as P
+
+    before = set(P._written)
+    assert C.run(spark, SF).count() > 0
+    left = [p for p in P._written if p not in before]
+    assert len(left) == 1 and "stage-packing" in left[0]
 
 
 def test_registered_queries_match_sql(spark):
