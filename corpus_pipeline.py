@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages over ``documents``; each is written and read again."""
+"""A corpus pipeline of five stages over ``documents``; each is written and read again.
+
+Every stage takes texts, languages and sources that are null, empty or repeated, and
+tables without rows; ids may repeat or be null.
+"""
 
 from __future__ import annotations
 
@@ -7,32 +11,33 @@ from pyspark.sql import functions as F
 
 from locus_spark.llm.common import crc_mod, materialize
 from locus_spark.llm.language_id import identify
-from locus_spark.llm.ngram_join import near_duplicates
+from locus_spark.llm.ngram_join import drop_near_duplicates
 from locus_spark.llm.packing import pack
 from locus_spark.llm.secret_scan import redact_secrets
 from locus_spark.llm.source_mixing import mix_sources
-from locus_spark.plans.materialize import broadcast_if_small
+from locus_spark.plans.materialize import scratch
 
 #: A document whose best language is less likely than this is rejected.
 LEAST_LANGUAGE_SCORE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; a missing ``lang`` becomes the predicted one."""
-    found = identify(docs, train_rows=crc_mod("doc_id", 4) != 2, keep=tuple(docs.columns))
+    """Documents in a learned language; a missing ``lang`` becomes the predicted one.
+
+    Documents without a letter, null texts among them, go. Columns called lang_pred,
+    score or any other name play no part in the decision.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*names.values())
+    own = {f"{c}_column": names[n] for c, n in (("id", "doc_id"), ("text", "text"), ("lang", "lang"))}
+    found = identify(plain, train_rows=crc_mod(names["doc_id"], 4) != 2, keep=tuple(names.values()), **own)
     found = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return found.withColumn(names["lang"], F.coalesce(names["lang"], "lang_pred")).select(*(F.col(new).alias(c) for c, new in names.items()))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies; null ids stay."""
-    found = materialize(near_duplicates(docs, threshold=0.8).select("doc_id", "kept"), "kept")
-    gone = found.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    left = docs.join(broadcast_if_small(gone, 16), "doc_id", "left_anti")
-    repeated = found.filter("kept").groupBy("doc_id").count().filter("count > 1")
-    if not repeated.isEmpty():
-        left = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionAll(left.filter("doc_id IS NULL"))
-    return left.select(*docs.columns)
+    """One document of each group of near copies, that of the smallest id; rows of other texts stay, whatever their id."""
+    return drop_near_duplicates(docs, threshold=0.8)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; only the last stage's table stays in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark) as keep:
+        for name, stage in STAGES:
+            with scratch(spark) as keep_stage:
+                out = keep_stage(materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
+            docs = out
+        return keep(docs)
