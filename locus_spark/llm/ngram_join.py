@@ -36,10 +36,10 @@ from locus_spark.plans.materialize import broadcast_if_small, scratch
 WORDS, BANDS, ROWS = 5, 40, 6
 SHORT = 64  # one-byte MinHash values carried to the buckets
 STEP = 16  # values compared between two looks at the posterior
-TILE, TILE_BYTES = 8192, 4 << 20  # documents and bytes of a chunk of a large family
+TILE, TILE_BYTES = 4096, 4 << 20  # documents and bytes of a chunk of a large family
 BUCKET = 4096  # classes of a key that are compared in one task
 AGAINST = 512  # members of a family that one task sets against its first text
-STRIP, COLUMNS = 1024, 1024  # members and shingles of a block of the product that counts shared ones
+STRIP, COLUMNS = 512, 1024  # members and shingles of a block of the product that counts shared ones
 PART = 1 << 19  # bytes hashed at once
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -48,7 +48,9 @@ def mix_sources(
     docs = docs.drop("copy_no", "shuffle_key")
     text = F.coalesce(F.col(text_column).cast("string"), F.lit("")) if text_column in docs.columns else F.lit("")
     key = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit(":"), text))
-    rows = docs.select(F.struct("*").alias("row"), F.col(source_column).cast("string").alias("s"), key.alias("key"), F.xxhash64(text).alias("tie"))
+    # Columns are numbered for a while, so that no name clashes.
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    rows = docs.select("*", F.col(source_column).cast("string").alias("s"), key.alias("key"), F.xxhash64(text).alias("tie")).toDF(*names, "s", "key", "tie")
     counts = rows.groupBy("s").agg(F.count("*").alias("n"))
     if weights is None:
         weighed = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temperature)))
@@ -71,7 +73,7 @@ def mix_sources(
     drawn = drawn.withColumn("u", uniform(seed, F.col("key")))
     out = drawn.withColumn("times", F.expr("cast(size(filter(cdf, c -> c < u)) AS INT)")).filter("times > 0").withColumn("copy_no", F.explode(F.expr("sequence(1, times)")))
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"shuffle-{seed}"), "key", F.col("copy_no").cast("string"))))
-    return out.orderBy("shuffle_key", "s", "tie").select("row.*", "copy_no", "shuffle_key")
+    return out.orderBy("shuffle_key", "s", "tie").select(*(F.col(n).alias(c) for n, c in names.items()), "copy_no", "shuffle_key")
 
 
 def mix_sql(temperature: float = 0.5, seed: int = 17) -> str:
