@@ -49,20 +49,23 @@ def bin_summary(track: DataFrame, width: int, keys: Sequence[str] = KEYS) -> Dat
     return out.withColumn("mean", F.try_divide("total", "covered"))
 
 
-def _over(df: DataFrame, track: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
-    return overlap_join(df.select(*keys, "st", "ed").distinct(), track, "left", keys, width)
+def _over(df: DataFrame, track: DataFrame, value: Column, keys: Sequence[str], width: int) -> DataFrame:
+    """Distinct positions with an aggregate of the runs on them: pairs are grouped first, then joined once."""
+    at = [*keys, "st", "ed"]
+    spots = df.select(*at).distinct()
+    found = overlap_pairs(spots, track.select(*at, "value"), keys, width).groupBy(*at).agg(value.alias("_v"))
+    return spots.join(found, at, "left").withColumn("_v", F.coalesce("_v", F.lit(0)))
 
 
 def mean_over(df: DataFrame, track: DataFrame, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:
     """Distinct positions with cov: the length-weighted mean of the track, 0 where it has none."""
-    total = F.coalesce(F.sum(F.col("b_value") * F.col("ovl")), F.lit(0))
-    return _over(df, track, keys, width).groupBy(*keys, "st", "ed").agg(total.alias("_t")).select(
-        *keys, "st", "ed", (F.col("_t") / (F.col("ed") - F.col("st"))).alias("cov"))
+    out = _over(df, track, F.sum(F.col("b_value") * F.col("ovl")), keys, width)
+    return out.select(*keys, "st", "ed", (F.col("_v") / (F.col("ed") - F.col("st"))).alias("cov"))
 
 
 def max_over(df: DataFrame, track: DataFrame, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:
     """Distinct positions with the largest value of the track on them, 0 where it has none."""
-    return _over(df, track, keys, width).groupBy(*keys, "st", "ed").agg(F.coalesce(F.max("b_value"), F.lit(0)).alias("cov"))
+    return _over(df, track, F.max("b_value"), keys, width).withColumnRenamed("_v", "cov")
 
 
 def gene_coverage(members: DataFrame, parts: DataFrame, gene: str = "gid") -> DataFrame:

@@ -61,14 +61,20 @@ def merge(
 
 
 def complement(df: DataFrame, sizes: DataFrame, keys: Sequence[str] = KEYS, tile: int = TILE) -> DataFrame:
-    """What the intervals leave of [0, size) per key; ``sizes`` has the keys and size."""
-    held = df.select(*keys, "st", "ed").join(sizes, list(keys)).filter("st < size AND ed > 0")
+    """What the intervals leave of [0, size) per key; ``sizes`` has the keys and size.
+
+    A gap runs from an island to the next one, found in its tile or as the first of a later tile.
+    """
+    held = df.select(*keys, "st", "ed").join(sizes, list(keys)).filter("st < size AND ed > 0 AND st < ed")
     held = held.select(*keys, F.greatest("st", F.lit(0)).cast("long").alias("st"), F.least("ed", "size").cast("long").alias("ed"))
-    ends = sizes.select(*keys, F.lit(0).cast("long").alias("pos"), F.lit(-1).alias("d")).unionByName(
-        sizes.select(*keys, F.col("size").cast("long").alias("pos"), F.lit(1).alias("d")))
-    merged = merge(held, keys, tile=tile)
-    deltas = ends.unionByName(merged.select(*keys, F.col("st").alias("pos"), F.lit(1).alias("d"))).unionByName(merged.select(*keys, F.col("ed").alias("pos"), F.lit(-1).alias("d")))
-    return runs(deltas.withColumn("d", F.col("d").cast("long")), keys, tile=tile).filter("value < 0").select(*keys, "st", "ed")
+    islands, place = _tiled(merge(held, keys, tile=tile).select(*keys, "st", "ed"), "st", tile), [*keys, "_tile"]
+    order = W.partitionBy(*keys).orderBy("_tile")
+    tiles = islands.groupBy(*place).agg(F.min("st").alias("_first")).withColumn("_next", F.lead("_first").over(order))
+    heads = sizes.join(tiles.groupBy(*keys).agg(F.min("_first").alias("ed")), list(keys), "left")
+    heads = heads.select(*keys, F.lit(0).cast("long").alias("st"), F.coalesce("ed", F.col("size").cast("long")).alias("ed"))
+    inner = islands.join(tiles.drop("_first"), place).withColumn("_after", F.coalesce(F.lead("st").over(W.partitionBy(*place).orderBy("st")), "_next"))
+    inner = inner.join(sizes, list(keys)).select(*keys, F.col("ed").alias("st"), F.coalesce("_after", F.col("size").cast("long")).alias("ed"))
+    return inner.unionByName(heads).filter("st < ed")
 
 
 def runs(deltas: DataFrame, keys: Sequence[str] = KEYS, digits: int | None = None, keep_flat: bool = False, tile: int = TILE) -> DataFrame:
@@ -169,12 +175,28 @@ def overlap_ratio(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, width:
     return hits.withColumns({"len": F.col("ed") - F.col("st"), "ovlratio": F.col("ovl") / (F.col("ed") - F.col("st"))}).withColumn("notcovbp", F.col("len") - F.col("ovl"))
 
 
-def self_ratio(df: DataFrame, count: str, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:
-    """Every distinct position with its own count over the counts of all that overlap it (itself included)."""
+def self_ratio(df: DataFrame, count: str, keys: Sequence[str] = KEYS, tile: int = TILE) -> DataFrame:
+    """Every distinct position with its own count over the counts of all that overlap it (itself included).
+
+    What overlaps [st, ed) is what begins before ed less what has ended by st: two running
+    sums, no pairs. Empty intervals overlap nothing and are left out.
+    """
     at = [*keys, "st", "ed"]
-    one = df.groupBy(*at).agg(F.sum(count).alias(count))
-    total = overlap_pairs(one, one, keys, width).groupBy(*at).agg(F.max(count).alias(count), F.sum(f"b_{count}").alias("total"))
-    return total.withColumn("ratio", F.try_divide(F.col(count), F.col("total")))
+    one = df.filter("st < ed").groupBy(*at).agg(F.sum(count).alias(count))
+    ends = F.explode(F.array(
+        F.struct(F.col("st").alias("pos"), F.col(count).alias("up"), (F.col(count) * 0).alias("down")), F.struct(F.col("ed").alias("pos"), (F.col(count) * 0).alias("up"), F.col(count).alias("down")))).alias("x")
+    point = _tiled(one.select(*keys, ends).groupBy(*keys, F.col("x.pos").alias("pos")).agg(F.sum("x.up").alias("up"), F.sum("x.down").alias("down")), "pos", tile)
+    place = [*keys, "_tile"]
+    earlier = W.partitionBy(*keys).orderBy("_tile").rowsBetween(W.unboundedPreceding, -1)
+    tiles = point.groupBy(*place).agg(F.sum("up").alias("_u"), F.sum("down").alias("_d"))
+    tiles = tiles.select(*place, F.coalesce(F.sum("_u").over(earlier), F.lit(0)).alias("_u"), F.coalesce(F.sum("_d").over(earlier), F.lit(0)).alias("_d"))
+    inside = W.partitionBy(*place).orderBy("pos")
+    begun = F.col("_u") + F.coalesce(F.sum("up").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ended = F.col("_d") + F.sum("down").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    sums = point.join(tiles, place).select(*keys, "pos", begun.alias("_begun"), ended.alias("_ended"))
+    out = one.join(sums.select(*keys, F.col("pos").alias("ed"), "_begun"), [*keys, "ed"]).join(sums.select(*keys, F.col("pos").alias("st"), "_ended"), [*keys, "st"])
+    total = F.col("_begun") - F.col("_ended")
+    return out.select(*at, count, total.alias("total"), F.try_divide(F.col(count), total).alias("ratio"))
 
 
 def atomic(df: DataFrame, member: str, keys: Sequence[str] = KEYS, width: int = 64, tile: int = TILE) -> DataFrame:

@@ -20,7 +20,7 @@ STRANDED = ("chr", "strand")
 def select_junctions(sj: DataFrame, unique: float = 0, multi: float = 1, least_ratio: float = 0.01, width: int = 64) -> DataFrame:
     """Junctions with enough reads of their own and among those that overlap them, over both strands."""
     held = sj.filter((F.col("ucnt") > unique) | (F.col("mcnt") > multi)).withColumn("jcnt", J.junction_count().cast("double"))
-    ratio = I.self_ratio(held, "jcnt", width=width).filter(F.col("ratio") >= least_ratio).select("chr", "st", "ed")
+    ratio = I.self_ratio(held, "jcnt").filter(F.col("ratio") >= least_ratio).select("chr", "st", "ed")
     return held.join(ratio, ["chr", "st", "ed"], "left_semi")
 
 

@@ -44,7 +44,7 @@ _DUCK = {
         "SELECT l_partkey AS d, l_suppkey AS a, count(*) FILTER (WHERE l_returnflag = 'A') AS ucnt,"
         " count(*) FILTER (WHERE l_returnflag <> 'A') AS mcnt FROM lineitem GROUP BY 1, 2"
     ),
-    "edges": "SELECT DISTINCT concat('p', l_partkey) AS src, concat('o', l_orderkey) AS dst FROM lineitem WHERE l_quantity >= 49",
+    "edges": "SELECT DISTINCT concat('p', l_partkey, '@', l_shipdate::DATE) AS src, concat('o', l_orderkey) AS dst FROM lineitem",
     "dag": (
         "SELECT concat('c', c_custkey) AS child, concat('n', c_nationkey) AS parent FROM customer UNION ALL"
         " SELECT concat('s', s_suppkey), concat('n', s_nationkey) FROM supplier UNION ALL"
@@ -79,7 +79,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return line().groupBy(F.col("l_partkey").alias("d"), F.col("l_suppkey").alias("a")).agg(
             F.count_if(F.col("l_returnflag") == "A").alias("ucnt"), F.count_if(F.col("l_returnflag") != "A").alias("mcnt"))
     if name == "edges":
-        return line().filter("l_quantity >= 49").selectExpr("concat('p', l_partkey) AS src", "concat('o', l_orderkey) AS dst").distinct()
+        return line().selectExpr("concat('p', l_partkey, '@', cast(l_shipdate AS DATE)) AS src", "concat('o', l_orderkey) AS dst").distinct()
     if name == "dag":
         c = table(spark, sf_dir, "customer").selectExpr("concat('c', c_custkey) AS child", "concat('n', c_nationkey) AS parent")
         s = table(spark, sf_dir, "supplier").selectExpr("concat('s', s_suppkey) AS child", "concat('n', s_nationkey) AS parent")

@@ -15,9 +15,9 @@ from locus_spark.queries.intervals import islands_sql, sweep_sql
 R = Registry()
 L, O, S, G_, D = (duck(n) for n in ("iv_lineitem", "iv_orders", "sj_pairs", "edges", "dag"))
 
-_COMP = f"""RECURSIVE {G_}, both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
-walk AS (SELECT DISTINCT a AS node, a AS other FROM both_ways UNION SELECT w.node, b.b FROM walk w JOIN both_ways b ON w.other = b.a),
-comp AS (SELECT node, min(other) AS component FROM walk GROUP BY node)"""
+_COMP = f"""RECURSIVE {G_}, both_ways AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+comp(node, component) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM both_ways GROUP BY a
+UNION SELECT r.node, min(c.component) FROM comp c JOIN both_ways w ON w.b = c.node JOIN recurring.comp r ON r.node = w.a WHERE c.component < r.component GROUP BY 1)"""
 
 
 @R.add(f"WITH {_COMP} SELECT node, component FROM comp")
@@ -123,7 +123,7 @@ def iv_ids(spark, sf):
     return J.row_ids(view(spark, sf, "iv_lineitem").select("chr", "st", "ed").distinct(), ["chr", "st", "ed"])
 
 
-_SJEX = f"""{L}, {O}, sj AS (SELECT DISTINCT 'c' AS chr, st + 1 AS st, ed, CASE WHEN strand = '-' THEN '-' ELSE '+' END AS strand FROM iv_lineitem WHERE gid % 20 = 0),
+_SJEX = f"""{L}, {O}, sj AS (SELECT DISTINCT 'c' AS chr, st + 1 AS st, ed, CASE WHEN id % 2 = 0 THEN '-' ELSE '+' END AS strand FROM iv_orders),
 ex AS (SELECT DISTINCT 'c' AS chr, st, ed, CASE WHEN strand = '-' THEN '-' ELSE '+' END AS strand FROM iv_lineitem),
 sp AS (SELECT *, CASE WHEN strand <> '-' THEN st - 1 ELSE ed END AS dpos, CASE WHEN strand <> '-' THEN ed ELSE st - 1 END AS apos FROM sj),
 xp AS (SELECT *, CASE WHEN strand <> '-' THEN ed ELSE st END AS dpos, CASE WHEN strand <> '-' THEN st ELSE ed END AS apos FROM ex),
@@ -134,9 +134,10 @@ xi AS (SELECT x.chr, x.st, x.ed, x.strand, coalesce(d_id, 0) AS d_id, coalesce(d
 
 
 def _sjex(spark, sf):
-    base = view(spark, sf, "iv_lineitem").withColumns({"chr": F.lit("c"), "strand": F.expr("CASE WHEN strand = '-' THEN '-' ELSE '+' END")})
-    sj = base.filter("gid % 20 = 0").select("chr", (F.col("st") + 1).alias("st"), "ed", "strand").distinct()
-    return sj, base.select("chr", "st", "ed", "strand").distinct()
+    """Junctions of all orders and exons of all lineitems, on one chromosome."""
+    ex = view(spark, sf, "iv_lineitem").select(F.lit("c").alias("chr"), "st", "ed", F.expr("CASE WHEN strand = '-' THEN '-' ELSE '+' END").alias("strand")).distinct()
+    sj = view(spark, sf, "iv_orders").select(F.lit("c").alias("chr"), (F.col("st") + 1).alias("st"), "ed", F.expr("CASE WHEN id % 2 = 0 THEN '-' ELSE '+' END").alias("strand")).distinct()
+    return sj, ex
 
 
 @R.add(f"WITH {_SJEX} SELECT * FROM xi")
@@ -150,10 +151,10 @@ def exon_category(spark, sf):
 
 
 @R.add(f"""WITH {_SJEX}, si AS (SELECT s.chr, s.st, s.ed, s.strand, d_id, a_id FROM sp s JOIN ds ON ds.strand = s.strand AND ds.dpos = s.dpos JOIN aa ON aa.strand = s.strand AND aa.apos = s.apos)
-SELECT chr, st, ed, strand FROM si WHERE d_id IN (SELECT d_id FROM xi WHERE d_id > 0 AND ed % 3 = 0) AND a_id IN (SELECT a_id FROM xi WHERE a_id > 0 AND ed % 3 = 0)""")
+SELECT chr, st, ed, strand FROM si WHERE d_id IN (SELECT d_id FROM xi WHERE d_id > 0) AND a_id IN (SELECT a_id FROM xi WHERE a_id > 0)""")
 def consistent_semi(spark, sf):
     sj, ex = J.donor_acceptor(*_sjex(spark, sf))
-    return J.consistent(sj, ex.filter("ed % 3 = 0")).select("chr", "st", "ed", "strand")
+    return J.consistent(sj, ex).select("chr", "st", "ed", "strand")
 
 
 @R.add(f"WITH {S} SELECT d, a, CASE WHEN ucnt <> 0 THEN ucnt ELSE mcnt END AS jcnt FROM sj_pairs WHERE ucnt > 0 OR mcnt > 1")
