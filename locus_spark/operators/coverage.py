@@ -49,23 +49,27 @@ def bin_summary(track: DataFrame, width: int, keys: Sequence[str] = KEYS) -> Dat
     return out.withColumn("mean", F.try_divide("total", "covered"))
 
 
-def _over(df: DataFrame, track: DataFrame, value: Column, keys: Sequence[str], width: int) -> DataFrame:
-    """Distinct positions with an aggregate of the runs on them: pairs are grouped first, then joined once."""
+def summary_over(df: DataFrame, track: DataFrame, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:
+    """Distinct positions with cov (length-weighted mean) and max of the track on them, 0 where it has none.
+
+    Pairs are grouped first, then joined to the positions once.
+    """
     at = [*keys, "st", "ed"]
     spots = df.select(*at).distinct()
-    found = overlap_pairs(spots, track.select(*at, "value"), keys, width).groupBy(*at).agg(value.alias("_v"))
-    return spots.join(found, at, "left").withColumn("_v", F.coalesce("_v", F.lit(0)))
+    pairs = overlap_pairs(spots, track.select(*at, "value"), keys, width)
+    found = pairs.groupBy(*at).agg(F.sum(F.col("b_value") * F.col("ovl")).alias("_t"), F.max("b_value").alias("_m"))
+    mean = F.coalesce("_t", F.lit(0)) / (F.col("ed") - F.col("st"))
+    return spots.join(found, at, "left").select(*at, mean.alias("cov"), F.coalesce("_m", F.lit(0)).alias("max"))
 
 
 def mean_over(df: DataFrame, track: DataFrame, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:
     """Distinct positions with cov: the length-weighted mean of the track, 0 where it has none."""
-    out = _over(df, track, F.sum(F.col("b_value") * F.col("ovl")), keys, width)
-    return out.select(*keys, "st", "ed", (F.col("_v") / (F.col("ed") - F.col("st"))).alias("cov"))
+    return summary_over(df, track, keys, width).drop("max")
 
 
 def max_over(df: DataFrame, track: DataFrame, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:
     """Distinct positions with the largest value of the track on them, 0 where it has none."""
-    return _over(df, track, F.max("b_value"), keys, width).withColumnRenamed("_v", "cov")
+    return summary_over(df, track, keys, width).drop("cov").withColumnRenamed("max", "cov")
 
 
 def gene_coverage(members: DataFrame, parts: DataFrame, gene: str = "gid") -> DataFrame:
