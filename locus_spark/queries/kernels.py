@@ -9,7 +9,7 @@ from locus_spark.operators import coverage as C
 from locus_spark.operators import intervals as I
 from locus_spark.operators import junctions as J
 from locus_spark.plans import assembly as A
-from locus_spark.plans.views import duck, table, view
+from locus_spark.plans.views import table, view
 from locus_spark.queries import Registry
 from locus_spark.streaming import windows as S
 
@@ -33,11 +33,6 @@ def nnls_exon_cov(spark, sf):
     return K.deconvolve(_parts(spark, sf))
 
 
-@R.add(f"WITH {duck('expr')} SELECT grp, count(*) AS n FROM expr GROUP BY grp")
-def expression_groups(spark, sf):
-    return view(spark, sf, "expr").groupBy("grp").agg(F.count("*").alias("n"))
-
-
 @R.add()
 def sigmoid_fit(spark, sf):
     points = view(spark, sf, "pv").withColumn("bin", F.round(F.col("lfc") * 4) / 4).groupBy("cond", "bin").agg(F.avg((F.col("p") + F.col("lfc") > 0.5).cast("double")).alias("y"))

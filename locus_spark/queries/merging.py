@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from locus_spark.operators import coverage as C
 from locus_spark.operators import merging as M
+from locus_spark.plans import assembly as A
 from locus_spark.plans.views import duck, table, view
 from locus_spark.queries import Registry
 from locus_spark.queries.intervals import islands_sql, sweep_sql
@@ -153,3 +154,45 @@ def gene_names(spark, sf):
     df = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("n"))
     genes = table(spark, sf, "part").selectExpr("p_partkey AS id", "CASE WHEN p_size > 25 THEN p_brand ELSE '' END AS symbol", "p_name AS gname")
     return M.with_gene_names(df, genes, "id").drop("gname")
+
+
+@R.add(f"WITH {L}, s AS (SELECT chr, st, ed, unnest(CASE WHEN strand = '.' THEN ['+', '-'] ELSE [strand] END) AS side FROM iv_lineitem), {sweep_sql('s', keys='chr, side')} SELECT chr, side, st, ed, value FROM swp")
+def strand_tracks(spark, sf):
+    return C.coverage(M.split_strands(view(spark, sf, "iv_lineitem")), ["chr", "side"])
+
+
+@R.add(f"""WITH {L}, {O}, {sweep_sql('iv_lineitem')}, x AS (SELECT DISTINCT chr, st, ed FROM iv_orders),
+f AS (SELECT chr, x.st, x.ed, least((SELECT value FROM swp t WHERE t.chr = x.chr AND t.st <= x.st - 1 AND x.st - 1 < t.ed), (SELECT value FROM swp t WHERE t.chr = x.chr AND t.st <= x.ed AND x.ed < t.ed)) AS value,
+ (SELECT count(*) FROM swp t WHERE t.chr = x.chr AND ((t.st <= x.st - 1 AND x.st - 1 < t.ed) OR (t.st <= x.ed AND x.ed < t.ed))) AS n,
+ EXISTS (SELECT 1 FROM swp t WHERE t.chr = x.chr AND t.st <= x.st - 1 AND x.st - 1 < t.ed) AND EXISTS (SELECT 1 FROM swp t WHERE t.chr = x.chr AND t.st <= x.ed AND x.ed < t.ed) AS both_in FROM x),
+r AS (SELECT chr, st, ed, value FROM swp UNION ALL SELECT chr, st, ed, value FROM f WHERE both_in),
+c AS (SELECT chr, st AS pos FROM r UNION SELECT chr, ed FROM r), p AS (SELECT chr, pos AS st, lead(pos) OVER (PARTITION BY chr ORDER BY pos) AS ed FROM c),
+m AS (SELECT p.chr, p.st, p.ed, max(r.value) AS value FROM p JOIN r ON r.chr = p.chr AND r.st < p.ed AND p.st < r.ed GROUP BY 1, 2, 3),
+g AS (SELECT *, CASE WHEN lag(ed) OVER w = st AND lag(value) OVER w = value THEN 0 ELSE 1 END AS new FROM m WINDOW w AS (PARTITION BY chr ORDER BY st)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY chr ORDER BY st) AS k FROM g) SELECT chr, min(st) AS st, max(ed) AS ed, any_value(value) AS value FROM k GROUP BY chr, k""")
+def filled_gaps(spark, sf):
+    return C.fill_exon_gaps(C.coverage(view(spark, sf, "iv_lineitem")), view(spark, sf, "iv_orders"))
+
+
+_SNAP = f"""{L}, {O}, ex AS (SELECT DISTINCT chr, strand, st + gid % 4 AS st, ed + 12 + gid % 3 AS ed FROM iv_lineitem WHERE strand <> '.'),
+sj AS (SELECT chr, st + 1 AS st, ed, CASE kind WHEN 'F' THEN '+' ELSE '-' END AS strand FROM iv_orders)"""
+
+
+@R.add(f"""WITH {_SNAP}, a AS (SELECT ex.*, (SELECT arg_min(j.ed, (abs(j.ed - ex.st), j.ed)) FROM sj j WHERE j.chr = ex.chr AND j.strand = ex.strand AND abs(j.ed - ex.st) <= 10) AS s,
+ (SELECT arg_min(j.st - 1, (abs(j.st - 1 - ex.ed), j.st)) FROM sj j WHERE j.chr = ex.chr AND j.strand = ex.strand AND abs(j.st - 1 - ex.ed) <= 10) AS e FROM ex)
+SELECT chr, strand, coalesce(s, st) AS st, coalesce(e, ed) AS ed FROM a WHERE coalesce(s, st) < coalesce(e, ed)""")
+def snapped_exons(spark, sf):
+    ex = view(spark, sf, "iv_lineitem").filter("strand <> '.'").selectExpr("chr", "strand", "st + gid % 4 AS st", "ed + 12 + gid % 3 AS ed").distinct()
+    sj = view(spark, sf, "iv_orders").selectExpr("chr", "st + 1 AS st", "ed", "CASE kind WHEN 'F' THEN '+' ELSE '-' END AS strand")
+    return A.snap_exons(ex, sj)
+
+
+_EST = ", ".join(f"e{n} AS (SELECT l_partkey % 500 AS gene, l_suppkey AS grp, sum(l_quantity)::DOUBLE AS value FROM lineitem WHERE l_returnflag = '{f}' GROUP BY 1, 2)" for n, f in enumerate("ANR"))
+
+
+@R.add(f"""WITH {_EST} SELECT gene, grp, list_sort([coalesce(e0.value, 0), coalesce(e1.value, 0), coalesce(e2.value, 0)])[2] AS value
+FROM e0 FULL JOIN e1 USING (gene, grp) FULL JOIN e2 USING (gene, grp)""")
+def group_abundance(spark, sf):
+    line = table(spark, sf, "lineitem")
+    parts = [line.filter(F.col("l_returnflag") == f).groupBy((F.col("l_partkey") % 500).alias("gene"), F.col("l_suppkey").alias("grp")).agg(F.sum("l_quantity").cast("double").alias("value")) for f in "ANR"]
+    return A.group_abundance(parts, ["gene", "grp"])

@@ -44,7 +44,10 @@ def test_against_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).columns
+    if name == "assemble_exons":  # its rows are those of test_pipelines; a whole run takes minutes
+        assert catalog.QUERIES[name](spark, SF).columns
+    else:
+        assert catalog.QUERIES[name](spark, SF).collect()
 
 
 def test_edges_of_all_islands(spark):
