@@ -32,10 +32,12 @@ def find_exons(sj: DataFrame, track: DataFrame, longest: int = 20_000, width: in
     """
     begins = sj.select(*STRANDED, F.col("ed").alias("pos")).distinct()  # exons begin where junctions end
     ends = sj.select(*STRANDED, (F.col("st") - 1).alias("pos")).distinct()
-    islands = I.merge(track.filter("value > 0"), ["chr"]).select("chr", "st", "ed")
-    pairs = J.pair_exons(begins, ends, STRANDED, longest)
+    # Used several times each; nested into one plan their sweeps and as-of joins would multiply.
+    islands = materialize(I.merge(track.filter("value > 0"), ["chr"]).select("chr", "st", "ed"), "islands")
+    pairs = materialize(J.pair_exons(begins, ends, STRANDED, longest), "pairs")
     inside = I.overlap_pairs(pairs.select("chr", "st", "ed").distinct(), islands, ["chr"], width).filter("ovl = ed - st").select("chr", "st", "ed").distinct()
     inner = pairs.join(inside, ["chr", "st", "ed"], "left_semi").select(*STRANDED, "st", "ed", F.lit("i").alias("kind"))
+    inner = materialize(inner, "inner")
     left = begins.join(inner.select(*STRANDED, F.col("st").alias("pos")).distinct(), [*STRANDED, "pos"], "left_anti")
     right = ends.join(inner.select(*STRANDED, F.col("ed").alias("pos")).distinct(), [*STRANDED, "pos"], "left_anti")
     touch = lambda d, s, e: I.overlap_pairs(d.select(*STRANDED, "pos", s.alias("st"), e.alias("ed")), islands, ["chr"], width)
@@ -58,9 +60,10 @@ def exon_edges(ex: DataFrame, sj: DataFrame) -> DataFrame:
 def assemble(sj: DataFrame, track: DataFrame, unique: float = 0, multi: float = 1, least_ratio: float = 0.01, longest: int = 20_000, width: int = 64) -> dict[str, DataFrame]:
     """Exons, junctions and genes from junctions (chr, st, ed, strand, ucnt, mcnt; 1-based
     starts) and a coverage track (chr, st, ed, value)."""
-    chosen = select_junctions(sj, unique, multi, least_ratio, width)
+    track = materialize(track.select("chr", "st", "ed", "value"), "track")
+    chosen = materialize(select_junctions(sj, unique, multi, least_ratio, width), "chosen")
     supported = materialize(J.flank_support(chosen, track, width=width), "sj")
-    exons = find_exons(supported, track, longest, width)
+    exons = materialize(find_exons(supported, track, longest, width), "exons")
     exons = exons.join(C.mean_over(exons, track, width=width), ["chr", "st", "ed"])
     exons = J.row_ids(exons, ["chr", "st", "ed", "strand"])
     sj_ids, ex_ids = J.donor_acceptor(supported, exons)
