@@ -103,15 +103,17 @@ def scan_licenses(
     every = F.concat(*(F.col(f"_b{k}") for k in range(len(BASE))))
     if at:
         index = f"array({', '.join('array(' + ', '.join(entries) + ')' for entries in at.values())})"
-        place = f"array_position(array({', '.join(repr(w) for w in at)}), w)"
-        spots = f"filter(transform(_w, (w, i) -> named_struct('k', cast({place} AS INT), 'i', i)), x -> x.k > 0)"
+        # IN is a hash look-up, so only indexed words are searched for in the list.
+        known = ", ".join(repr(w) for w in at)
+        spot = f"named_struct('k', cast(array_position(array({known}), w) AS INT), 'i', i)"
+        spots = f"filter(transform(_w, (w, i) -> CASE WHEN w IN ({known}) THEN {spot} END), x -> x IS NOT NULL)"
         votes = f"flatten(transform({spots}, s -> transform(get({index}, s.k - 1), a -> named_struct('t', a.t, 'o', s.i - a.p, 'f', a.f, 'whole', a.whole))))"
         # In order of template and offset, so that one pass adds up every offset's weight.
         start = "named_struct('t', -1, 'o', 0, 'f', 0D, 'best', 0D, 'hits', cast(array() AS ARRAY<INT>))"
         f = "CASE WHEN acc.t = v.t AND acc.o = v.o THEN acc.f ELSE 0D END + v.f"
         hits = f"CASE WHEN ({f}) / v.whole >= {least_share}D THEN array_union(acc.hits, array(v.t)) ELSE acc.hits END"
         step = f"named_struct('t', v.t, 'o', v.o, 'f', {f}, 'best', greatest(acc.best, least(({f}) / v.whole, 1D)), 'hits', {hits})"
-        out = out.withColumn("_found", F.expr(f"aggregate(array_sort({votes}), {start}, (acc, v) -> {step})"))
+        out = out.withColumn("_found", F.expr(f"aggregate(sort_array({votes}), {start}, (acc, v) -> {step})"))
     else:
         out = out.withColumn("_found", F.expr("cast(NULL AS STRUCT<best: DOUBLE, hits: ARRAY<INT>>)"))
     names = ", ".join(f"named_struct('label', '{label}', 'key', ' {key} ')" for label, key, _ in templates)
