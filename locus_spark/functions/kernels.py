@@ -234,16 +234,13 @@ def fit_logistic(df: DataFrame, label: str, features: Sequence[str], c: float =
 
 def cover(paths: DataFrame, gene: str = "gene", path: str = "path", members: str = "members", abundance: str = "abundance") -> DataFrame:
     """Per gene the paths that a greedy cover takes: from the most abundant down, those with a
-    member that none before has. Returns the chosen rows (gene, path, abundance)."""
+    member that none before has. Returns the chosen rows (gene, path, abundance).
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: set = set()
-        chosen = []
-        for row in sorted(zip(-pdf[abundance], pdf[path], pdf[members]), key=lambda r: r[:2]):
-            if set(row[2]) - seen:
-                seen |= set(row[2])
-                chosen.append((pdf[gene].iloc[0], row[1], -row[0]))
-        return pd.DataFrame(chosen, columns=[gene, path, abundance])
-
-    kind = {c: paths.schema[c].dataType.simpleString() for c in (gene, path)}
-    return paths.groupBy(gene).applyInPandas(one, f"`{gene}` {kind[gene]}, `{path}` {kind[path]}, `{abundance}` double")
+    A path left out has only members of paths before it, so the members seen so far are those
+    of all paths before; a path is taken if it is the first one of any of its members.
+    Paths without an abundance come last, equal ones in the order of their names.
+    """
+    value = F.col(abundance).cast("double")
+    place = F.struct(value.isNull().alias("n"), (-value).alias("a"), F.col(path).alias("p"))
+    first = paths.select(gene, F.explode(members).alias("_m"), place.alias("_x")).groupBy(gene, "_m").agg(F.min("_x").alias("_x"))
+    return first.select(gene, F.col("_x.p").alias(path), (-F.col("_x.a")).alias(abundance)).distinct()
