@@ -71,6 +71,19 @@ def test_tails(spark):
     assert two == pytest.approx(0.05, rel=1e-6)
 
 
+def test_fisher_of_large_groups(spark):
+    """Means beyond exp's range; against exact sums of Poisson terms."""
+    for n, p in ((3, 0.2), (40, 0.9), (400, 0.01), (2000, 0.36), (2000, 0.38), (20000, 0.3665)):
+        h = -math.log(p) * n
+        terms = [-h + i * math.log(h) - math.lgamma(i + 1) for i in range(n)]
+        top = max(terms)
+        want = math.exp(top) * math.fsum(math.exp(t - top) for t in terms)
+        got = spark.range(n).select(F.lit(p).alias("p")).agg(T.fisher_combined(F.col("p"))).first()[0]
+        assert got == pytest.approx(want, rel=1e-7, abs=1e-300), (n, p)
+    assert spark.range(50).select(F.lit(1.0).alias("p")).agg(T.fisher_combined(F.col("p"))).first()[0] == 1.0
+    assert spark.range(5).select(F.lit(0.0).alias("p")).agg(T.fisher_combined(F.col("p"))).first()[0] == 0.0
+
+
 def test_ids_and_pairs(spark):
     df = spark.createDataFrame([("b", 5), ("a", 9), ("a", 2), ("c", 1)], "chr string, st long")
     assert [(r["_id"], r["chr"], r["st"]) for r in J.row_ids(df, ["chr", "st"]).orderBy("_id").collect()] == [(0, "a", 2), (1, "a", 9), (2, "b", 5), (3, "c", 1)]
