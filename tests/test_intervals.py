@@ -111,3 +111,29 @@ def test_empty_and_null_rows(spark):
     assert I.merge(empty).count() == C.coverage(empty).count() == I.overlap_join(empty, empty).count() == 0
     holes = frame(spark, [("a", None, 3), (None, 1, 2), ("a", 1, 2)])
     assert out(I.drop_null_positions(holes), "chr", "st", "ed") == [("a", 1, 2)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_are_not_broadcast(spark):
+    """Spark takes an explode for as large as its input, and broadcast binned rows of any number."""
+    a = frame(spark, [("a", x, x + 30) for x in range(0, 900, 7)])
+    assert "BroadcastHashJoin" not in plan(I.overlap_pairs(a, a))
+
+
+def test_bins_follow_the_levels_that_occur(spark):
+    short = frame(spark, [("a", x * 64, x * 64 + 20) for x in range(200)])
+    assert I._binned(short, ["chr"], 64, "", 2, [0]).count() == 200
+    assert I._binned(short, ["chr"], 64, "", 2, []).count() == 0
+    assert I._binned(short, ["chr"], 64, "", 2, [2]).count() == 200
+    # Rows of all levels on either side, on both, and none at all.
+    rng = random.Random(5)
+    rows = lambda sizes: [(rng.choice("ab"), st, st + rng.choice(sizes)) for st in (rng.randrange(60_000) for _ in range(150))]
+    low, high, every = [1, 3, 40], [5_000, 40_000], [1, 90, 300, 2_500, 30_000]
+    for left, right in ((low, low), (low, high), (high, low), (every, every), (every, low), (low, None), (None, high)):
+        x, y = (rows(sizes) if sizes else [] for sizes in (left, right))
+        got = out(I.overlap_pairs(frame(spark, x), frame(spark, y), width=1), "chr", "st", "ed", "b_st", "b_ed", "ovl")
+        want = [(c, s, e, t, f, min(e, f) - max(s, t)) for c, s, e in x for d, t, f in y if c == d and s < f and t < e]
+        assert got == sorted(want)
