@@ -119,3 +119,26 @@ def test_edges_of_long_regions(spark):
     got = K.slope_edges(runs, "region", window=10, step=1.0, longest=4000).collect()
     assert len(dense) > 30_000 and len(whole) > 100
     assert all(sorted((r["pos"], r["step"]) for r in got if r["region"] == g) == whole for g in ("x", "y"))
+
+
+def test_edges_of_many_small_regions(spark):
+    """Regions of one place and more, taken together, against each by itself; no Python group per region."""
+    import random
+
+    rng = random.Random(3)
+    rows, want = [], []
+    for n in range(300):
+        size, st = rng.choice([1, 2, 5, 19, 20, 60, 300]), rng.randrange(1000)
+        dense, at = np.zeros(size), 0
+        while at < size:
+            ed, value = min(size, at + rng.choice([1, 3, 20])), rng.choice([0, 1, 3, 15, 60])
+            dense[at:ed] = value
+            if value:
+                rows.append((f"r{n}", st + at, st + ed, value, st, st + size))
+            at = ed
+        if dense.any():
+            want += [(f"r{n}", st + k, d) for k, d in K.edges_of(dense, min(10, max(1, size // 2)), 1.0)]
+    runs = spark.createDataFrame(rows, "region string, st long, ed long, value long, rst long, red long")
+    out = K.slope_edges(runs, "region", window=10, step=1.0)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == sorted(want) and len(want) > 300
