@@ -63,7 +63,9 @@ def binned_percentile(df: DataFrame, x: str, y: str, percent: float, least_width
 def smooth(track: DataFrame, keys: Sequence[str], half: int) -> DataFrame:
     """Mean of the value over positions within ``half`` of each run's start, weighted by overlap; bounded windows."""
     from locus_spark.operators.coverage import mean_over
+    from locus_spark.plans.materialize import once
 
+    track = once(track.select(*keys, "st", "ed", "value"), "track")
     around = track.select(*keys, F.greatest(F.col("st") - half, F.lit(0)).alias("st"), (F.col("st") + half + 1).alias("ed")).distinct()
     return mean_over(around, track, keys)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locus_spark.operators.coverage import summary_over, threshold
 from locus_spark.operators.intervals import KEYS, merge, overlap_join
-from locus_spark.plans.materialize import broadcast_if_small
+from locus_spark.plans.materialize import broadcast_if_small, once
 from locus_spark.plans.ranking import number_rows, rank_in_families
 
 
@@ -102,6 +102,7 @@ def _away(track: DataFrame, exons: DataFrame, least: float, keys: Sequence[str],
 
 def single_exons_by_max(track: DataFrame, exons: DataFrame, most: float, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:
     """Covered stretches away from all exons whose largest value is above ``most``, with max and cov (mean)."""
+    track = once(track, "track")
     return summary_over(_away(track, exons, 0, keys, width), track, keys, width).filter(F.col("max") > most)
 
 
@@ -110,7 +111,7 @@ def single_exons_by_share(track: DataFrame, exons: DataFrame, factor: float, sma
 
     The mean depth is that of covered bases, averaged over keys.
     """
-    size = F.col("ed") - F.col("st")
+    track, size = once(track, "track"), F.col("ed") - F.col("st")
     depth = track.filter("value > 0").groupBy(*keys).agg((F.sum(F.col("value") * size) / F.sum(size)).alias("a"))
     least = depth.agg(F.avg("a")).first()[0] or 0.0
     return _away(track, exons, least / factor, keys, width).withColumn("len", size).filter((F.col("len") > smallest) & (F.col("len") < largest))

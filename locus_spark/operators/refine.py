@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from locus_spark.operators.coverage import mean_over
 from locus_spark.operators.intervals import KEYS, merge, overlap_join, overlap_pairs
+from locus_spark.plans.materialize import once
 
 AT = ["chr", "st", "ed"]
 
@@ -16,6 +17,7 @@ AT = ["chr", "st", "ed"]
 def drop_inside_covered(sj: DataFrame, track: DataFrame, factor: float, width: int = 64) -> DataFrame:
     """Junctions without those inside one covered island whose count is below ``factor`` times
     the island's mean coverage (an adaptive form of the fixed limits)."""
+    track = once(track, "track")
     islands = merge(track.filter("value > 0")).select(*AT)
     islands = mean_over(islands, track, width=width)
     inner = overlap_pairs(sj.select(*AT).distinct(), islands, width=width).filter("ovl = ed - st").groupBy(*AT).agg(F.max("b_cov").alias("_c"))

@@ -100,6 +100,12 @@ def test_assembles_all_rows(spark, monkeypatch):
     assert sj.agg(F.sum("ucnt")).first()[0] == spark.read.parquet(f"{SF}/lineitem.parquet").count() and not options
 
 
+@pytest.mark.parametrize("name", ["gene_cov", "nnls_exon_cov", "overlay_max", "single_exons_by_max"])
+def test_shared_tables_are_written_once(spark, name):
+    """What a query uses several times comes from files, not from the tables again."""
+    assert "lineitem.parquet" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
