@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,11 +115,22 @@ def flux(exons: DataFrame, track: DataFrame, keys: Sequence[str] = KEYS, width:
     return wide.withColumns(step)
 
 
+def _log2(value: Column) -> Column:
+    """log2 as the C library rounds it. Spark's, a quotient of two logarithms, is off by more, so that doublings
+    from 5 and 6 came out above 1. Depths repeat, so each value of a batch is worked out once."""
+
+    @F.pandas_udf("double")
+    def log2(v: pd.Series) -> pd.Series:
+        return v.map({x: math.log2(x) if x > 0 else (-math.inf if x == 0 else math.nan) for x in v.dropna().unique()})
+
+    return log2(value.cast("double"))
+
+
 def changes(track: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Positions where the log2 of a track steps, with the step; runs that don't touch fall to 0 between."""
-    up = track.select(*keys, F.col("st").alias("pos"), F.log2(F.col("value") + 1).alias("d"))
-    down = track.select(*keys, F.col("ed").alias("pos"), (-F.log2(F.col("value") + 1)).alias("d"))
-    return up.unionByName(down).groupBy(*keys, "pos").agg(F.sum("d").alias("step")).filter("abs(step) > 1e-12")
+    log = _log2(F.col("value") + 1)
+    ends = F.explode(F.array(F.struct(F.col("st").alias("pos"), F.col("_l").alias("d")), F.struct(F.col("ed").alias("pos"), (-F.col("_l")).alias("d")))).alias("x")
+    return track.select(*keys, "st", "ed", log.alias("_l")).select(*keys, ends).select(*keys, "x.pos", "x.d").groupBy(*keys, "pos").agg(F.sum("d").alias("step")).filter("abs(step) > 1e-12")
 
 
 def single_exon_candidates(track: DataFrame, exons: DataFrame, least_size: int, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:

@@ -137,3 +137,12 @@ def test_bins_follow_the_levels_that_occur(spark):
         got = out(I.overlap_pairs(frame(spark, x), frame(spark, y), width=1), "chr", "st", "ed", "b_st", "b_ed", "ovl")
         want = [(c, s, e, t, f, min(e, f) - max(s, t)) for c, s, e in x for d, t, f in y if c == d and s < f and t < e]
         assert got == sorted(want)
+
+
+def test_steps_of_exact_doublings(spark):
+    """A depth that doubles steps by the difference of the C library's logarithms, as in SQL."""
+    import math
+
+    track = frame(spark, [("a", 100 * k, 100 * k + 10, k - 1) for k in range(2, 100)] + [("a", 100 * k + 10, 100 * k + 20, 2 * k - 1) for k in range(2, 100)], "chr string, st long, ed long, value long")
+    got = {r["pos"]: r["step"] for r in C.changes(track).collect()}
+    assert [got[100 * k + 10] for k in range(2, 100)] == [-math.log2(k) + math.log2(2 * k) for k in range(2, 100)]
