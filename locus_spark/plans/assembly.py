@@ -135,8 +135,14 @@ def snap_exons(ex: DataFrame, sj: DataFrame, within: int = 10) -> DataFrame:
     begins = sj.select(*STRANDED, F.col("ed").alias("pos")).distinct()
     ends = sj.select(*STRANDED, (F.col("st") - 1).alias("pos")).distinct()
     for column, sites in (("st", begins), ("ed", ends)):
-        near = ex.select(*STRANDED, F.col(column).alias("p")).distinct().withColumn("pos", F.explode(F.expr(f"sequence(p - {within}, p + {within})")))
-        best = near.join(sites, [*STRANDED, "pos"]).groupBy(*STRANDED, "p").agg(F.min(F.struct(F.abs(F.col("pos") - F.col("p")).alias("d"), "pos")).alias("x"))
+        # The nearest site at or below and at or above, by two as-of joins: no row per position within reach.
+        spots = ex.select(*STRANDED, F.col(column).alias("pos")).distinct()
+        sides = []
+        for sign in (1, -1):
+            turned = lambda d, by=0: d.select(*STRANDED, (F.col("pos") * sign + by).alias("pos"))  # noqa: B023, E731
+            near = J.nearest_before(turned(spots, 1), turned(sites), STRANDED, within + 1)
+            sides.append(near.select(*STRANDED, ((F.col("pos") - 1) * sign).alias("p"), (F.col("before") * sign).alias("pos")))
+        best = sides[0].unionByName(sides[1]).groupBy(*STRANDED, "p").agg(F.min(F.struct(F.abs(F.col("pos") - F.col("p")).alias("d"), "pos")).alias("x"))
         best = best.select(*STRANDED, F.col("p").alias(column), F.col("x.pos").alias("_to"))
         ex = ex.join(best, [*STRANDED, column], "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
     return ex.filter("st < ed")

@@ -114,3 +114,23 @@ def test_materialized_tables_go(spark):
     assert made.count() == 3 and list(folder.glob("short-lived-*"))
     P.drop_materialized(spark)
     assert not list(folder.glob("short-lived-*"))
+
+
+def test_snaps_without_a_row_per_position(spark):
+
+    rng = random.Random(8)
+    ex = {(rng.choice("ab"), rng.choice("+-"), st, st + rng.randrange(1, 40)) for st in (rng.randrange(-50, 500) for _ in range(120))}
+    sj = {(rng.choice("ab"), st, st + rng.randrange(5, 60), rng.choice("+-")) for st in (rng.randrange(-50, 500) for _ in range(60))}
+    got = A.snap_exons(spark.createDataFrame(sorted(ex), "chr string, strand string, st long, ed long"), spark.createDataFrame(sorted(sj), "chr string, st long, ed long, strand string"), 6)
+    assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+    def to(pos, sites):
+        near = [(abs(s - pos), s) for s in sites if abs(s - pos) <= 6]
+        return min(near)[1] if near else pos
+
+    want = []
+    for c, s, st, ed in ex:
+        a = to(st, [e for d, _, e, t in sj if (d, t) == (c, s)])
+        b = to(ed, [x - 1 for d, x, _, t in sj if (d, t) == (c, s)])
+        want += [(c, s, a, b)] if a < b else []
+    assert sorted((r["chr"], r["strand"], r["st"], r["ed"]) for r in got.collect()) == sorted(want)
