@@ -215,10 +215,11 @@ def find_terms(spark, sf):
 @R.add(f"""WITH RECURSIVE {duck('edges')}, w AS (SELECT DISTINCT src AS node FROM edges WHERE src = (SELECT min(src) FROM edges) UNION
 SELECT CASE WHEN e.src = w.node THEN e.dst ELSE e.src END FROM w JOIN edges e ON e.src = w.node OR e.dst = w.node) SELECT node FROM w""")
 def one_component(spark, sf):
-    edges = view(spark, sf, "edges")
+    edges = view(spark, sf, "edge_rows")
     comp = G.connected_components(edges)
     first = edges.agg(F.min("src").alias("node"))
-    return comp.join(comp.join(first, "node").select("component"), "component", "left_semi").select("node")
+    of_it = comp.join(F.broadcast(first), "node").select("component")  # one row
+    return comp.join(F.broadcast(of_it), "component", "left_semi").select("node")
 
 
 @R.add(f"WITH {L}, x AS (SELECT chr, st, ed, greatest(floor(w / 0.02)::BIGINT + 1, 1) AS k FROM iv_lineitem), {sweep_sql('x', weight='k')} SELECT chr, st, ed, value::BIGINT AS value FROM swp")

@@ -30,6 +30,27 @@ def test_components(spark):
     assert G.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_contract(spark, monkeypatch):
+    # Stars and one long path: rounds for the path must not write the stars again, nor may a sorted path take a round a node.
+    monkeypatch.setattr(G, "FEW_EDGES", 4, raising=False)
+    monkeypatch.setattr(G, "HUB", 5)
+    monkeypatch.setattr("locus_spark.plans.materialize.BROADCAST_BYTES", 100)
+    written, write = [], G.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "materialize", counted)
+    stars = [(f"p{o}-{k}", f"o{o:05}") for o in range(1500) for k in range(4)]
+    path = [(f"z{i:03}", f"z{i + 1:03}") for i in range(200)]
+    hub = [("q", f"r{i}") for i in range(40)] + [("r3", "q")]
+    found = {r[0]: r[1] for r in G.connected_components(spark.createDataFrame(stars + path + hub, "src string, dst string")).collect()}
+    assert found == {n: b for a, b in stars for n in (a, b)} | {f"z{i:03}": "z000" for i in range(201)} | {"q": "q"} | {f"r{i}": "q" for i in range(40)}
+    assert sum(written) < 5 * len(stars + path + hub)
+
+
 def test_closure_of_a_cycle(spark):
     pairs = G.reachable(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string"))
     assert {(r[0], r[1]) for r in pairs.collect()} == {(x, y) for x in "abc" for y in "abcd"}
