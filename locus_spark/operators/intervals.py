@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locus_spark.plans.materialize import once
+from locus_spark.plans.materialize import materialize, once
 
 TILE = 1 << 17  # positions of a tile
 LEVELS, FAN = 4, 64  # bin sizes of the overlap join: width * FAN ** level
@@ -94,10 +94,12 @@ def runs(deltas: DataFrame, keys: Sequence[str] = KEYS, digits: int | None = Non
     order = W.partitionBy(*keys).orderBy("_tile")
     tiles = point.groupBy(*place).agg(F.sum("d").alias("_d"), F.min("pos").alias("_first"))
     tiles = tiles.withColumns({"_before": F.sum("_d").over(order.rowsBetween(W.unboundedPreceding, -1)), "_next": F.lead("_first").over(order)}).drop("_d", "_first")
+    # The window comes before the join: its order serves both, and rows are sorted once.
     inside = W.partitionBy(*place).orderBy("pos")
-    value = F.coalesce(F.col("_before"), F.lit(0)) + F.sum("d").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    point = point.select(*place, "pos", F.sum("d").over(inside.rowsBetween(W.unboundedPreceding, 0)).alias("_sum"), F.lead("pos").over(inside).alias("_after"))
+    value = F.coalesce(F.col("_before"), F.lit(0)) + F.col("_sum")
     value = value if digits is None else F.round(value, digits)
-    out = point.join(tiles, place).withColumns({"value": value, "ed": F.coalesce(F.lead("pos").over(inside), F.col("_next"))})
+    out = point.join(tiles, place).withColumns({"value": value, "ed": F.coalesce("_after", "_next")})
     return out.filter("ed IS NOT NULL").select(*keys, F.col("pos").alias("st"), "ed", "value")
 
 
@@ -151,12 +153,38 @@ def overlap_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, width:
     return out.select(*keys, *own, *other, (F.least("_aed", "b_ed") - F.greatest("_ast", "b_st")).alias("ovl"))
 
 
+def overlapped(
+    a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, tile: int = 64 * FAN, st: Column | None = None, ed: Column | None = None
+) -> DataFrame:
+    """Rows of a with _hit: whether a row of b overlaps them, at their own positions or those of ``st`` and ``ed``.
+
+    [st, ed) meets b if the furthest end of the rows of b that begin before ed lies beyond
+    st: a running maximum, carried from tile to tile. No pair is made. Rows without a key
+    or a position meet nothing.
+    """
+    place, st, ed = [*keys, "_tile"], F.col("st") if st is None else st, F.col("ed") if ed is None else ed
+    rows = once(a, "overlapped").withColumns({"_o_low": st, "_o_at": ed.cast("long"), "_o_side": F.lit(0)})
+    starts = b.select(*keys, "st", "ed").dropna().groupBy(*keys, F.col("st").cast("long").alias("_o_at")).agg(F.max(F.col("ed").cast("long")).alias("_o_far"))
+    starts = materialize(starts.withColumn("_o_side", F.lit(1)), "starts")
+    places = rows.select(*keys, "_o_at", F.lit(None).cast("long").alias("_o_far")).unionByName(starts.drop("_o_side"))
+    before = W.partitionBy(*keys).orderBy("_tile").rowsBetween(W.unboundedPreceding, -1)
+    tiles = _tiled(places, "_o_at", tile).groupBy(*place).agg(F.max("_o_far").alias("_o_far")).select(*place, F.max("_o_far").over(before).alias("_o_before"))
+    # At one position rows of a come first: what begins at their end doesn't overlap them.
+    earlier = W.partitionBy(*place).orderBy("_o_at", "_o_side").rowsBetween(W.unboundedPreceding, -1)
+    both = _tiled(rows.unionByName(starts, allowMissingColumns=True), "_o_at", tile).withColumn("_o_in", F.max("_o_far").over(earlier)).filter("_o_side = 0")
+    return both.join(tiles, place, "left").select(*a.columns, F.coalesce(F.greatest("_o_in", "_o_before") > F.col("_o_low"), F.lit(False)).alias("_hit"))
+
+
 def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", keys: Sequence[str] = KEYS, width: int = 64, fraction: float = 0.0) -> DataFrame:
     """Overlap join: ``inner``, ``left`` (ovl 0 without a partner), ``semi`` or ``anti``.
 
     An overlap depends on positions alone, so partners are found for the distinct
     positions of a and joined back by them; ``fraction`` is the least share of a's length.
+    Without a fraction semi and anti need no pairs (``overlapped``).
     """
+    if how in ("semi", "anti") and not fraction:
+        found = overlapped(a, b, keys, tile=width * FAN)
+        return found.filter("_hit" if how == "semi" else "NOT _hit").select(*a.columns)
     at = [*keys, "st", "ed"]
     pairs = overlap_pairs(a.select(*at).distinct(), b, keys, width)
     if fraction:

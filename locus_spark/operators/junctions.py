@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locus_spark.operators.intervals import KEYS, overlap_join, overlap_pairs
+from locus_spark.operators.intervals import FAN, KEYS, overlap_pairs, overlapped
+from locus_spark.plans.materialize import once
 from locus_spark.plans.ranking import number_rows
 
 
@@ -99,13 +100,9 @@ def drop_inside_exons(sj: DataFrame, exons: DataFrame, unique: float, multi: flo
 def flank_support(sj: DataFrame, track: DataFrame, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:
     """Junctions whose neighbouring bases on both sides are covered: the last of the exon
     before, at st - 2 as starts are 1-based, and the first of the exon after, at ed."""
-    at = [*keys, "st", "ed"]
-    left = sj.select(*at, (F.col("st") - 2).alias("_s"), (F.col("st") - 1).alias("_e"))
-    right = sj.select(*at, F.col("ed").alias("_s"), (F.col("ed") + 1).alias("_e"))
-    for side in (left, right):
-        spot = side.select(*keys, F.col("_s").alias("st"), F.col("_e").alias("ed"), F.col("st").alias("_st"), F.col("ed").alias("_ed")).distinct()
-        held = overlap_join(spot, track, "semi", keys, width).select(*keys, F.col("_st").alias("st"), F.col("_ed").alias("ed"))
-        sj = sj.join(held.distinct(), at, "left_semi")
+    columns, track = sj.columns, once(track, "track")
+    for before in (F.col("st") - 1, F.col("ed") + 1):
+        sj = overlapped(sj, track, keys, width * FAN, before - 1, before).filter("_hit").select(*columns)
     return sj
 
 
