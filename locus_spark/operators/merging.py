@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locus_spark.operators.coverage import summary_over, threshold
+from locus_spark.operators.coverage import threshold
 from locus_spark.operators.intervals import KEYS, merge, overlap_join
 from locus_spark.plans.materialize import broadcast_if_small, once
 from locus_spark.plans.ranking import number_rows, rank_in_families
@@ -102,8 +102,11 @@ def _away(track: DataFrame, exons: DataFrame, least: float, keys: Sequence[str],
 
 def single_exons_by_max(track: DataFrame, exons: DataFrame, most: float, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:
     """Covered stretches away from all exons whose largest value is above ``most``, with max and cov (mean)."""
-    track = once(track, "track")
-    return summary_over(_away(track, exons, 0, keys, width), track, keys, width).filter(F.col("max") > most)
+    size = F.col("ed") - F.col("st")
+    runs = track.filter("value > 0").withColumns({"_area": F.col("value") * size, "_low": -F.col("value")})
+    islands = merge(runs, keys, sums=["_area"], mins=["_low"]).filter(-F.col("_low") > most)
+    free = overlap_join(islands.select(*keys, "st", "ed", "_area", "_low"), exons, "anti", keys, width)
+    return free.select(*keys, "st", "ed", (F.col("_area") / size).alias("cov"), (-F.col("_low")).alias("max"))
 
 
 def single_exons_by_share(track: DataFrame, exons: DataFrame, factor: float, smallest: int, largest: int, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:
