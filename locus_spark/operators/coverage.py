@@ -7,10 +7,11 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locus_spark.operators.intervals import KEYS, TILE, deltas, merge, overlap_join, overlap_pairs, runs
-from locus_spark.plans.materialize import once
+from locus_spark.plans.materialize import materialize, once
 
 
 def coverage(df: DataFrame, keys: Sequence[str] = KEYS, weight: Column | None = None, scale: float | None = None, digits: int | None = None, tile: int = TILE) -> DataFrame:
@@ -33,6 +34,18 @@ def combine(tracks: Sequence[DataFrame], signs: Sequence[float] | None = None, k
     return runs(every, keys, digits).filter("value <> 0").withColumn("value", F.col("value") * F.lit(scale))
 
 
+def combined_coverage(
+    sets: Sequence[DataFrame], signs: Sequence[int] | None = None, keys: Sequence[str] = KEYS, scale: float = 1.0, digits: int = 9, tile: int = TILE
+) -> DataFrame:
+    """``combine`` of the depths of several sets of intervals, in one sweep: a track of depth changes
+    where its intervals begin and end, so their tracks need not be made first."""
+    every = None
+    for df, sign in zip(sets, signs or [1] * len(sets)):
+        part = deltas(df, keys, F.lit(float(sign)))
+        every = part if every is None else every.unionByName(part)
+    return runs(every, keys, digits, tile=tile).filter("value <> 0").withColumn("value", F.col("value") * F.lit(scale))
+
+
 def track_stats(track: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Per key: totbp, covbp and acov of a track."""
     size = F.col("ed") - F.col("st")
@@ -135,24 +148,50 @@ def changes(track: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def single_exon_candidates(track: DataFrame, exons: DataFrame, least_size: int, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:
     """Covered stretches away from all exons, at least ``least_size`` long, with their mean coverage."""
-    track = once(track, "track")
-    islands = merge(track.filter("value > 0"), keys).select(*keys, "st", "ed")
-    free = overlap_join(islands, exons.select(*keys, "st", "ed"), "anti", keys, width).filter(F.col("ed") - F.col("st") >= least_size)
-    return mean_over(free, track, keys, width)
+    size = F.col("ed") - F.col("st")
+    # The runs of a stretch are disjoint and fill it: its mean is their area by its length.
+    islands = merge(track.filter("value > 0").withColumn("_area", F.col("value") * size), keys, sums=["_area"]).filter(size >= least_size)
+    free = overlap_join(islands.select(*keys, "st", "ed", "_area"), exons, "anti", keys, width)
+    return free.select(*keys, "st", "ed", (F.col("_area") / size).alias("cov"))
 
 
+def highest(df: DataFrame, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:
+    """The largest value of the rows over each part between neighbouring ends, as disjoint runs; rows may overlap."""
+    rows = once(df.select(*keys, "st", "ed", "value"), "rows")
+    parts = runs(deltas(rows, keys), keys, keep_flat=True).filter("value > 0").select(*keys, "st", "ed")
+    return overlap_pairs(parts, rows, keys, width).groupBy(*keys, "st", "ed").agg(F.max("b_value").alias("value"))
 
 
-def overlay_max(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:
-    """The larger of two tracks at every position, as maximal runs."""
-    both = once(a.select(*keys, "st", "ed", "value").unionByName(b.select(*keys, "st", "ed", "value")), "tracks")
-    parts = runs(deltas(both, keys), keys, keep_flat=True).filter("value > 0").select(*keys, "st", "ed")
-    most = overlap_pairs(parts, both, keys, width).groupBy(*keys, "st", "ed").agg(F.max("b_value").alias("_v"))
-    return runs(deltas(most, keys, F.col("_v")), keys).filter("value <> 0")
+def overlay_max(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, tile: int = TILE) -> DataFrame:
+    """The larger of two tracks at every position, as maximal runs.
+
+    The runs of a track are disjoint, so one sweep knows the value of each from its last
+    event: no pairs, and no sums that fractions would blur.
+    """
+    place, order = [*keys, "_tile"], W.partitionBy(*keys).orderBy("_tile")
+    both = a.select(*keys, "st", "ed", "value", F.lit(0).alias("_t")).unionByName(b.select(*keys, "st", "ed", "value", F.lit(1).alias("_t")))
+    ends = F.explode(F.array(F.struct(F.col("st").alias("pos"), F.col("value").alias("v")), F.struct(F.col("ed").alias("pos"), F.nullif(F.col("value"), F.col("value")).alias("v")))).alias("x")
+    events = both.filter("st < ed").select(*keys, "_t", ends).select(*keys, "_t", "x.pos", "x.v")
+    own = [F.when(F.col("_t") == k, F.col("v")) for k in (0, 1)]
+    point = events.groupBy(*keys, "pos").agg(*(F.max(own[k]).alias(f"_v{k}") for k in (0, 1)), *(F.count_if(F.col("_t") == k).alias(f"_n{k}") for k in (0, 1)))
+    point = point.withColumn("_tile", F.floor(F.col("pos") / F.lit(tile)))
+    at = [F.when(F.col(f"_n{k}") > 0, F.col("pos")) for k in (0, 1)]
+    tiles = point.groupBy(*place).agg(*(F.max(at[k]).alias(f"_p{k}") for k in (0, 1)), *(F.max_by(f"_v{k}", at[k]).alias(f"_v{k}") for k in (0, 1)))
+    held = [F.last(F.when(F.col(f"_p{k}").isNotNull(), F.struct(f"_v{k}")), True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias(f"_c{k}") for k in (0, 1)]
+    inside = W.partitionBy(*place).orderBy("pos")
+    event = [F.when(F.col(f"_n{k}") > 0, F.struct(f"_v{k}")) for k in (0, 1)]
+    last = [F.last(event[k], True).over(inside.rowsBetween(W.unboundedPreceding, n)).alias(f"_{name}{k}") for k in (0, 1) for name, n in (("now", 0), ("was", -1))]
+    known = point.select(*place, "pos", *last).join(tiles.select(*place, *held), place)
+    value = {name: F.nullif(F.greatest(*(F.coalesce(f"_{name}{k}", f"_c{k}")[f"_v{k}"] for k in (0, 1))), F.lit(0)) for name in ("now", "was")}
+    steps = known.select(*place, "pos", value["now"].alias("value"), value["was"].alias("_was")).filter("NOT (value <=> _was)").drop("_was")
+    steps = materialize(steps, "steps")
+    firsts = steps.groupBy(*place).agg(F.min("pos").alias("_first")).select(*place, F.lead("_first").over(order).alias("_next"))
+    out = steps.withColumn("_after", F.lead("pos").over(inside)).join(firsts, place).filter("value IS NOT NULL")
+    return out.select(*keys, F.col("pos").alias("st"), F.coalesce("_after", "_next").alias("ed"), "value")
 
 
 def fill_exon_gaps(track: DataFrame, exons: DataFrame, keys: Sequence[str] = KEYS, width: int = 64) -> DataFrame:
     """A junction track carried across exons: inside, at least the smaller of the values beside them."""
     track = once(track, "track")
     beside = flux(exons, track, keys, width).select(*keys, "st", "ed", F.least("s_out", "e_out").alias("value")).filter("value > 0")
-    return overlay_max(track, beside, keys, width)
+    return overlay_max(track, highest(beside, keys, width), keys)

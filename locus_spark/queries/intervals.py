@@ -103,14 +103,14 @@ _BOTH = f"{L}, {O}, {SWP}, {sweep_sql('iv_orders', name='swo')}, u AS (SELECT ch
 
 @R.add(f"WITH {_BOTH.format(sign='')}, {sweep_sql('u', weight='value', name='out')} SELECT chr, st, ed, round(value, 6) AS value FROM out")
 def cov_track_sum(spark, sf):
-    tracks = [C.coverage(view(spark, sf, v), tile=SMALL_TILE) for v in ("iv_lineitem", "iv_orders")]
-    return C.combine(tracks).withColumn("value", F.round("value", 6))
+    sets = [view(spark, sf, v) for v in ("iv_lineitem", "iv_orders")]
+    return C.combined_coverage(sets, tile=SMALL_TILE).withColumn("value", F.round("value", 6))
 
 
 @R.add(f"WITH {_BOTH.format(sign='-')}, {sweep_sql('u', weight='value', name='out')} SELECT chr, st, ed, round(value, 6) AS value FROM out")
 def cov_track_diff(spark, sf):
-    tracks = [C.coverage(view(spark, sf, v), tile=SMALL_TILE) for v in ("iv_lineitem", "iv_orders")]
-    return C.combine(tracks, [1.0, -1.0]).withColumn("value", F.round("value", 6))
+    sets = [view(spark, sf, v) for v in ("iv_lineitem", "iv_orders")]
+    return C.combined_coverage(sets, [1, -1], tile=SMALL_TILE).withColumn("value", F.round("value", 6))
 
 
 @R.add(f"WITH {L}, {SWP} SELECT chr, sum(value * (ed - st))::BIGINT AS totbp, sum(ed - st)::BIGINT AS covbp, sum(value * (ed - st)) / sum(ed - st) AS acov FROM swp GROUP BY chr")

@@ -146,3 +146,52 @@ def test_steps_of_exact_doublings(spark):
     track = frame(spark, [("a", 100 * k, 100 * k + 10, k - 1) for k in range(2, 100)] + [("a", 100 * k + 10, 100 * k + 20, 2 * k - 1) for k in range(2, 100)], "chr string, st long, ed long, value long")
     got = {r["pos"]: r["step"] for r in C.changes(track).collect()}
     assert [got[100 * k + 10] for k in range(2, 100)] == [-math.log2(k) + math.log2(2 * k) for k in range(2, 100)]
+
+
+def _no_pairs(*args, **kwargs):
+    raise AssertionError("pairs were made")
+
+
+def test_overlapped_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(I, "overlap_pairs", _no_pairs)
+    rng = random.Random(8)
+    a = [(f"c{rng.randrange(3)}", s, s + rng.choice([0, 1, 5, 30, 400]), k) for k, s in enumerate(rng.choices(range(-200, 900), k=150))] + [(None, 1, 9, 900), ("c1", None, 9, 901), ("c1", 1, None, 902)]
+    b = [(f"c{rng.randrange(4)}", s, s + rng.choice([0, 1, 9, 60]), None) for s in rng.choices(range(-200, 900), k=40)] + [("c2", 100, 700, None), (None, 1, 9, None), ("c1", None, None, None)]
+    hit = {r[3] for r in a if None not in r for x in b if x[0] == r[0] and x[1] is not None and r[1] < x[2] and x[1] < r[2]}
+    left, right = (spark.createDataFrame(rows, "chr string, st long, ed long, _low long") for rows in (a, b))
+    for how in ("semi", "anti"):
+        got = [r["_low"] for r in I.overlap_join(left, right, how, width=1).collect()]
+        assert sorted(got) == sorted(k for *_, k in a if (k in hit) == (how == "semi"))
+
+
+def test_tracks_by_sweep(spark, monkeypatch):
+    for module in (I, C):
+        monkeypatch.setattr(module, "overlap_pairs", _no_pairs)
+    rng, depth, tracks = random.Random(9), [{}, {}], [[], []]
+    for k in (0, 1):
+        at = 0
+        while at < 300:
+            end = at + rng.randrange(1, 40)
+            value = rng.choice([None, 0.1, 0.2, 0.3, -0.5])
+            if value is not None:
+                tracks[k].append(("c", at, end, value))
+                depth[k] |= dict.fromkeys(range(at, end), value)
+            at = end
+    most = {p: max(d[p] for d in depth if p in d) for p in set(depth[0]) | set(depth[1])}
+    frames = [spark.createDataFrame(t, "chr string, st long, ed long, value double") for t in tracks]
+    rows = sorted(tuple(r) for r in C.overlay_max(*frames, tile=16).collect())
+    assert {p: v for _, s, e, v in rows for p in range(s, e)} == most
+    assert all(x[2] < y[1] or x[3] != y[3] for x, y in zip(rows, rows[1:]))
+
+    exons = spark.createDataFrame([("c", 20, 30), ("c", 150, 151)], "chr string, st long, ed long")
+    islands = [(r["st"], r["ed"]) for r in I.merge(frames[0].filter("value > 0")).collect()]
+    free = [(s, e) for s, e in islands if e - s >= 10 and not (s < 30 and 20 < e or s < 151 and 150 < e)]
+    got = {(r["st"], r["ed"]): r["cov"] for r in C.single_exon_candidates(frames[0], exons, 10).collect()}
+    assert got == pytest.approx({(s, e): sum(depth[0][p] for p in range(s, e)) / (e - s) for s, e in free})
+
+
+def test_combined_coverage(spark):
+    rng = random.Random(10)
+    sets = [spark.createDataFrame([("c", s, s + rng.randrange(0, 30)) for s in rng.choices(range(200), k=40)], "chr string, st long, ed long") for _ in range(2)]
+    expected = C.combine([C.coverage(d) for d in sets], [1.0, -1.0], scale=0.5)
+    assert sorted(map(tuple, C.combined_coverage(sets, [1, -1], scale=0.5, tile=32).collect())) == sorted(map(tuple, expected.collect()))
