@@ -70,9 +70,14 @@ def lowercase_bases(df: DataFrame, id_column: str, text: str) -> DataFrame:
     return df.select(id_column, F.length(F.regexp_replace(text, "[^a-z]", "")).cast("long").alias("repbp"))
 
 
-def tile_sequence(seq: DataFrame, size: int = 1 << 16) -> DataFrame:
-    """Sequences (chr, seq) in tiles (chr, tile, seq) of ``size`` characters."""
-    tiles = F.explode(F.expr(f"sequence(0, greatest(length(seq) - 1, 0) div {size})")).alias("tile")
+def tile_sequence(seq: DataFrame, size: int = 1 << 16, within: tuple[int, int] | None = None) -> DataFrame:
+    """Sequences (chr, seq) in tiles (chr, tile, seq) of ``size`` characters; with ``within`` only the tiles
+    that meet those positions, where no others are asked for."""
+    first, last = 0, "greatest(length(seq) - 1, 0)"
+    if within is not None:
+        first, last = within[0] // size, f"least(length(seq), {within[1]}) - 1"
+        seq = seq.filter(f"length(seq) > {within[0]}")
+    tiles = F.explode(F.expr(f"sequence({first}, cast({last} AS INT) div {size})")).alias("tile")
     return seq.select("chr", tiles, "seq").select("chr", "tile", F.expr(f"substring(seq, cast(tile * {size} + 1 AS INT), {size})").alias("seq"))
 
 

@@ -90,3 +90,11 @@ def test_streaming_sessions(spark, tmp_path):
     ST.run_once(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {(r["n"], r["total"]) for r in spark.read.parquet(str(tmp_path / "out")).filter("user = 'u'").collect()}
     assert got <= {(2, 3.0), (1, 5.0), (1, 9.0)} and (2, 3.0) in got
+
+
+def test_tiles_within(spark):
+    seq = spark.createDataFrame([("a", "0123456789" * 3), ("b", "0123456"), ("c", "0123"), ("d", ""), ("e", None)], "chr string, seq string")
+    tiles = M.tile_sequence(seq, 4, within=(5, 11))
+    assert sorted((r["chr"], r["tile"], r["seq"]) for r in tiles.collect()) == [("a", 1, "4567"), ("a", 2, "8901"), ("b", 1, "456")]
+    at = spark.createDataFrame([("a", 5, 11), ("b", 5, 7)], "chr string, st long, ed long")
+    assert {r["chr"]: r["seq"] for r in M.fetch_sequence(tiles, at, 4).collect()} == {"a": "567890", "b": "56"}
