@@ -61,13 +61,28 @@ def binned_percentile(df: DataFrame, x: str, y: str, percent: float, least_width
 
 
 def smooth(track: DataFrame, keys: Sequence[str], half: int) -> DataFrame:
-    """Mean of the value over positions within ``half`` of each run's start, weighted by overlap; bounded windows."""
-    from locus_spark.operators.coverage import mean_over
-    from locus_spark.plans.materialize import once
+    """Mean of the value over positions within ``half`` of each run's start, from 0 on, weighted by overlap.
 
-    track = once(track.select(*keys, "st", "ed", "value"), "track")
-    around = track.select(*keys, F.greatest(F.col("st") - half, F.lit(0)).alias("st"), (F.col("st") + half + 1).alias("ed")).distinct()
-    return mean_over(around, track, keys)
+    The runs of a track are disjoint, so those within reach of a start are the ones that begin there
+    and the last one before. Runs are dealt into tiles of positions, each with what lies in reach of
+    it; no pairs are made and no sum is carried on.
+    """
+    track = track.select(*keys, "st", "ed", F.coalesce("value", F.lit(0)).alias("value"))
+    place, tile = [*keys, "_tile"], max(1 << 14, 4 * half + 4)
+    dealt = F.explode(F.expr(f"sequence(floor((st - {half}) / {tile}), floor((ed - 1 + {half}) / {tile}))"))
+    rows = track.filter("st < ed").withColumns({"_tile": dealt}).withColumn("_own", F.floor(F.col("st") / tile) == F.col("_tile"))
+    order = W.partitionBy(*place).orderBy("st")
+    near, back = order.rangeBetween(-half, half), order.rangeBetween(W.unboundedPreceding, -half - 1)
+    low, high = F.greatest(F.col("st") - half, F.lit(0)), F.col("st") + half + 1
+    # Of the runs that begin in reach only the last can be longer than the reach.
+    length = lambda run: F.least(F.greatest(run("ed") - F.greatest(run("st"), F.lit(0)), F.lit(0)), F.lit(2 * half + 1))
+    last, prev = (lambda c: F.col("_last")[c]), (lambda c: F.col("_prev")[c])
+    run = F.struct("st", "ed", "value")
+    rows = rows.withColumns({"_sum": F.sum(F.col("value") * length(F.col)).over(near), "_last": F.last(run).over(near), "_prev": F.last(run).over(back)}).filter("_own")
+    inside = F.when(length(last) > 0, F.least(length(last), high - F.greatest(last("st"), F.lit(0)))).otherwise(0)
+    over = last("value") * (length(last) - inside)
+    before = F.coalesce(prev("value") * F.greatest(prev("ed") - low, F.lit(0)), F.lit(0))
+    return rows.select(*keys, low.alias("st"), high.alias("ed"), F.try_divide(F.col("_sum") - over + before, high - low).alias("cov"))
 
 
 def first_gap(track: DataFrame, keys: Sequence[str], least: float, longer: int) -> DataFrame:
