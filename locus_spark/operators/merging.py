@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locus_spark.operators.coverage import threshold
 from locus_spark.operators.intervals import KEYS, merge, overlap_join
-from locus_spark.plans.materialize import broadcast_if_small, once
+from locus_spark.plans.materialize import broadcast_if_small, dealt, once
 from locus_spark.plans.ranking import number_rows, rank_in_families
 
 
@@ -61,11 +61,17 @@ def drop_ambiguous_junctions(sj: DataFrame, span: Sequence[str], most: int = 100
     return sj.join(full, list(span), "left").filter("_full IS NULL OR ucnt > 0").select(*sj.columns)
 
 
-def junction_totals(paths: DataFrame, count: str, name: str = "name") -> DataFrame:
-    """(chr, st, ed, count) of the junctions ``a|b`` named in paths, with the largest count of a path through each."""
+def junction_totals(paths: DataFrame, count: str, name: str = "name", rows: int | None = None) -> DataFrame:
+    """(chr, st, ed, count) of the junctions ``a|b`` named in paths, with the largest count of a path through each.
+
+    ``rows`` is how many junctions the names hold at most; without it they are counted. Junctions
+    are dealt out before they are grouped, so that no task holds its paths' groups and theirs too.
+    """
     steps = paths.select("chr", count, F.explode(F.split(name, ",")).alias("j")).filter("j LIKE '%|%'")
     a, b = F.split("j", r"\|")[0].cast("long"), F.split("j", r"\|")[1].cast("long")
-    return steps.groupBy("chr", F.least(a, b).alias("st"), F.greatest(a, b).alias("ed")).agg(F.max(count).alias(count))
+    steps = steps.select("chr", F.least(a, b).alias("st"), F.greatest(a, b).alias("ed"), count)
+    steps = dealt(steps, ["chr", "st", "ed"], steps.count() if rows is None else rows)
+    return steps.groupBy("chr", "st", "ed").agg(F.max(count).alias(count))
 
 
 def counts_onto(sj: DataFrame, counted: DataFrame) -> DataFrame:

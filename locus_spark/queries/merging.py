@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from locus_spark.operators import coverage as C
 from locus_spark.operators import merging as M
 from locus_spark.plans import assembly as A
+from locus_spark.plans.materialize import dealt
 from locus_spark.plans.views import duck, table, view
 from locus_spark.queries import Registry
 from locus_spark.queries.intervals import islands_sql, sweep_sql
@@ -39,8 +40,11 @@ def adopted_strands(spark, sf):
 @R.add(f"""WITH {_PATHS}, c AS (SELECT chr, st, ed, count(*) AS n FROM iv_lineitem GROUP BY 1, 2, 3), j AS (SELECT chr, st, st + 3 AS ed, n FROM c UNION ALL SELECT chr, least(ed - 3, ed), ed, n FROM c)
 SELECT chr, st, ed, max(n) AS n FROM j GROUP BY 1, 2, 3""")
 def junction_totals(spark, sf):
-    counted = view(spark, sf, "iv_lineitem").groupBy("chr", "st", "ed").agg(F.count("*").alias("n"))
-    return M.junction_totals(counted.select("chr", "n", F.expr("concat(st, '|', st + 3, ',', ed, '|', ed - 3)").alias("name")), "n")
+    iv = view(spark, sf, "iv_lineitem").select("chr", "st", "ed")
+    rows = iv.count()
+    counted = dealt(iv, ["chr", "st", "ed"], rows).groupBy("chr", "st", "ed").agg(F.count("*").alias("n"))
+    # A name holds two junctions.
+    return M.junction_totals(counted.select("chr", "n", F.expr("concat(st, '|', st + 3, ',', ed, '|', ed - 3)").alias("name")), "n", rows=2 * rows)
 
 
 @R.add(f"""WITH {L}, {O}, pos AS (SELECT DISTINCT chr, st AS pos, strand, CASE WHEN w < 0.05 THEN '5' ELSE '3' END AS kind FROM iv_lineitem WHERE strand <> '.'),
