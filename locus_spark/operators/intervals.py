@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locus_spark.plans.materialize import materialize, once
+from locus_spark.plans.materialize import dealt, materialize, once, rows_of_scan
 
 TILE = 1 << 17  # positions of a tile
 LEVELS, FAN = 4, 64  # bin sizes of the overlap join: width * FAN ** level
@@ -35,30 +35,35 @@ def merge(
     """Union of intervals per key; those at most ``gap`` apart merge.
 
     Returns keys, st, ed, n (members), the sums of ``sums`` and least values of ``mins``.
-    Without ``touching``, intervals that only touch stay apart (gap 0).
+    Without ``touching``, intervals that only touch stay apart (gap 0). The rows of a table
+    that is only read are dealt into partitions of a given number; those of other plans go
+    into partitions that Spark sizes.
     """
-    rows = _tiled(df.select(*keys, "st", "ed", *sums, *mins), "st", tile)
+    # A row without a start belongs nowhere, and its end must not count as reached before the first tile.
+    rows, known = _tiled(df.select(*keys, "st", "ed", *sums, *mins).filter("st IS NOT NULL"), "st", tile), rows_of_scan(df)
     place = [*keys, "_tile"]
     before = W.partitionBy(*keys).orderBy("_tile").rowsBetween(W.unboundedPreceding, -1)
-    tiles = rows.groupBy(*place).agg(F.max("ed").alias("_most")).withColumn("_before", F.max("_most").over(before)).drop("_most")
+    tiles = rows.groupBy(*place).agg(F.max("ed").alias("_most"), F.max("st").alias("_top")).select(*place, "_top", F.max("_most").over(before).alias("_before"))
     inside = W.partitionBy(*place).orderBy("st", "ed")
-    reach = F.greatest(F.max("ed").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.col("_before"))
-    opens = (F.col("st") > reach + gap) if touching else (F.col("st") >= reach)
-    rows = rows.join(tiles, place).withColumn("_new", F.when(reach.isNull() | opens, 1).otherwise(0))
-    rows = rows.withColumn("_k", F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
 
-    def gather(d: DataFrame, by: list[str], count: Column) -> DataFrame:
+    def apart(reach: Column) -> Column:
+        return reach.isNull() | ((F.col("st") > reach + gap) if touching else (F.col("st") >= reach))
+
+    def gather(d: DataFrame, by: list[str], count: Column, *more: Column) -> DataFrame:
         return d.groupBy(*by).agg(
-            F.min("st").alias("st"), F.max("ed").alias("ed"), count.alias("n"), *(F.sum(c).alias(c) for c in sums), *(F.min(c).alias(c) for c in mins)
+            F.min("st").alias("st"), F.max("ed").alias("ed"), count.alias("n"), *(F.sum(c).alias(c) for c in sums), *(F.min(c).alias(c) for c in mins), *more
         )
 
-    parts = gather(rows, [*place, "_k"], F.count("*"))
-    # Only the first and last part of a tile can go on beyond it.
-    parts = parts.withColumn("_last", F.max("_k").over(W.partitionBy(*place)))
-    edge = parts.filter("_k = 0 OR _k = _last")
-    group = F.sum(F.when(F.col("_k") > 0, 1).otherwise(0)).over(W.partitionBy(*keys).orderBy("_tile", "_k").rowsBetween(W.unboundedPreceding, 0))
+    # Islands of a tile alone: rows are sorted once, and only islands meet what comes before.
+    rows = rows if known is None else dealt(rows, place, known)
+    rows = rows.withColumn("_new", F.when(apart(F.max("ed").over(inside.rowsBetween(W.unboundedPreceding, -1))), 1).otherwise(0))
+    rows = rows.withColumn("_k", F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    parts = gather(rows, [*place, "_k"], F.count("*"), F.max("st").alias("_end")).join(tiles, place).withColumn("_new", apart(F.col("_before")))
+    # Those that earlier tiles reach are the first ones of a tile; only they and the last can go on beyond it.
+    edge = parts.filter("NOT _new OR _end = _top")
+    group = F.sum(F.when(F.col("_new"), 1).otherwise(0)).over(W.partitionBy(*keys).orderBy("_tile", "_k").rowsBetween(W.unboundedPreceding, 0))
     joined = gather(edge.withColumn("_g", group), [*keys, "_g"], F.sum("n")).drop("_g")
-    whole = parts.filter("_k > 0 AND _k < _last").select(*joined.columns)
+    whole = parts.filter("_new AND _end < _top").select(*joined.columns)
     return joined.unionByName(whole)
 
 
